@@ -42,3 +42,8 @@ def bounded_broadcast(df: DataFrame, most_rows: int) -> DataFrame:
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z, all else as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the cluster names it; a local one only where it names none."""
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="narrata-shared-")
