@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from narrata.llm import chunkdedup, decontaminate, linerules, sharding, simhash, sql, tokenfile
+from narrata.llm import chunkdedup, decontaminate, htmltext, linerules, sharding, simhash, sql, tokenfile
 from narrata.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.rendezvous_shards(table(spark, sf_dir, "documents"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hit_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
