@@ -47,3 +47,22 @@ def lower_ascii(text: Column) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it; a local one only where it names none."""
     return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="narrata-shared-")
+
+
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label_col: str, most: int, id_col: str = "doc_id", text_col: str = "text", where: Column | None = None
+) -> DataFrame:
+    """At most ``most`` distinct labelled texts ``(doc_id, text, label)``: those whose hashes are least.
+
+    Hashes of texts decide, so neither ids nor copies of a text do. Only ids and hashes are joined and
+    compared; texts are then picked by a broadcast of the ``most`` chosen ids. Rows with a null id,
+    text or label are left out; of equal texts the least id and the greatest label count.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash")).where("text is not null")
+    known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col("doc_id").alias("l_id")).agg(F.max(label_col).cast("double").alias("label"))
+    if where is not None:
+        rows = rows.where(where)
+    met = rows.select("doc_id", "text_hash").join(known, F.col("doc_id") == F.col("l_id"))
+    chosen = met.groupBy("text_hash").agg(F.min("doc_id").alias("c_id"), F.max("label").alias("label")).orderBy("text_hash").limit(most)
+    picked = rows.join(F.broadcast(chosen.withColumnRenamed("text_hash", "c_hash")), (F.col("doc_id") == F.col("c_id")) & (F.col("text_hash") == F.col("c_hash")))
+    return picked.select("doc_id", "text", "label").dropDuplicates(["doc_id"])
