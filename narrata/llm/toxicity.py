@@ -15,17 +15,17 @@ from pyspark.sql import functions as F
 from narrata.llm.common import labelled_sample
 
 #: Most labelled texts that examples, term choice and calibration use.
-EXAMPLES = 20_000
+EXAMPLES = 8_000
 #: Of them, one in so many only calibrates the score and is no example.
 CALIBRATE = 4
 #: Most terms of the index, and the least G-squared that a term's link with the label needs.
-TERMS, LEAST_G2 = 4096, 15.0
+TERMS, LEAST_G2 = 1024, 15.0
 #: Examples that vote, examples a block, and the similarity that the prior's vote weighs.
 NEIGHBOURS, BLOCK, PRIOR_WEIGHT = 16, 128, 0.5
 #: Scores from which a text is called toxic.
 THRESHOLD = 0.3
 #: Lengths of the word beginnings that are terms beside whole words.
-STEMS = (4, 5, 6)
+STEMS = (4, 5)
 #: Distinct words whose terms a worker keeps.
 MEMO = 300_000
 
@@ -58,7 +58,7 @@ class Index:
         self.idf = np.log((1 + total) / (1 + np.array(doc_freq, float))) + 1
         self.ids: list = []
         self.labels = np.empty(0)
-        self.postings: list[tuple[np.ndarray, np.ndarray]] = []
+        self.blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # postings: terms, places in the block, weights
         self.block_max = np.empty((0, 0))
         self.prior = 0.0
         self.steps: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
@@ -87,14 +87,14 @@ class Index:
         with_terms = [e for e in examples if len(e[1])]
         self.ids = [e[0] for e in with_terms]
         self.labels = np.array([e[3] for e in with_terms])
-        by: list[list[tuple[int, float]]] = [[] for _ in self.terms]
-        for n, (_, at, weights, _) in enumerate(with_terms):
-            for t, w in zip(at.tolist(), weights.tolist()):
-                by[t].append((n, w))
-        self.postings = [(np.array([n for n, _ in p], np.int64), np.array([w for _, w in p])) for p in by]
         self.block_max = np.zeros((len(self.terms), -(-len(with_terms) // BLOCK)))
-        for t, (at, weights) in enumerate(self.postings):
-            np.maximum.at(self.block_max[t], at // BLOCK, weights)
+        for block in range(self.block_max.shape[1]):
+            held = with_terms[block * BLOCK : (block + 1) * BLOCK]
+            terms, weights = np.concatenate([e[1] for e in held]), np.concatenate([e[2] for e in held])
+            places = np.repeat(np.arange(len(held)), [len(e[1]) for e in held])
+            order = np.argsort(terms, kind="stable")
+            self.blocks.append((terms[order], places[order], weights[order]))
+            np.maximum.at(self.block_max[:, block], terms, weights)
 
     def nearest(self, at: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS) -> list[tuple[float, int]]:
         """The k examples of greatest cosine, exactly, of equal ones the first.
@@ -104,18 +104,19 @@ class Index:
         if not len(at) or not len(self.ids):
             return []
         most = weights @ self.block_max[at]
+        query = np.zeros(len(self.terms))
+        query[at] = weights
         best: list[tuple[float, int]] = []
-        lists = [self.postings[t] for t in at.tolist()]
-        for block in np.argsort(-most, kind="stable"):
-            if most[block] <= 0 or (len(best) >= k and most[block] < -best[-1][0] - 1e-12):
+        for block in np.argsort(-most, kind="stable").tolist():
+            if most[block] <= 0 or (len(best) >= k and most[block] < -best[-1][0] - 1e-9):
                 break
-            low = block * BLOCK
-            scores = np.zeros(BLOCK)
-            for (ids, w), q in zip(lists, weights.tolist()):
-                a, b = np.searchsorted(ids, (low, low + BLOCK))
-                scores[ids[a:b] - low] += q * w[a:b]
-            found = np.flatnonzero(scores > 0)
-            best = sorted([*best, *((-round(float(scores[n]), 12), int(low + n)) for n in found)])[:k]
+            terms, places, held = self.blocks[block]
+            scores = np.round(np.bincount(places, query[terms] * held, BLOCK), 12)
+            if len(best) >= k:
+                found = np.flatnonzero(scores >= -best[-1][0])
+            else:
+                found = np.flatnonzero(scores > 0)
+            best = sorted([*best, *zip((-scores[found]).tolist(), (found + block * BLOCK).tolist())])[:k]
         return [(-s, n) for s, n in best]
 
     def vote(self, near: list[tuple[float, int]]) -> float:
