@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from narrata.llm import chunkdedup, decontaminate, htmltext, linerules, quality, sharding, simhash, sql, tokenfile, toxicity
+from narrata.llm import chunkdedup, decontaminate, htmltext, linerules, mixing, quality, sharding, simhash, sql, tokenfile, toxicity
 from narrata.llm.common import table
 
 
@@ -47,6 +47,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = {"en": 0.55, "de": 0.15, "es": 0.15, "fr": 0.15}
+    return mixing.mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), targets)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this module by its name."""
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
