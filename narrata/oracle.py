@@ -266,6 +266,70 @@ select book_id, 'character-' || case when core = '' then left(sha256(raw), 12) e
     when contains(lower(line), 'heading') then 'heading' when contains(lower(line), 'layout') then 'layout' else 'candidate' end as source_type from c"""
 
 
+P04_CHAPTER_CHUNKS = f"""with {_PLAN}
+select book_id, index as chapter_index, cast(row_number() over (partition by book_id order by index) - 1 as integer) as global_index, 0 as local_index, start_offset as source_start,
+  end_offset as source_end, sha256(substring(text, start_offset + 1, end_offset - start_offset)) as text_sha256 from plan where end_offset > start_offset"""
+T17_WORD_STARTS = rf"""with b as (select doc_id as book_id, coalesce(text, '') as text from documents)
+select book_id, {_count('text', _LATIN)} as n, cast(case when regexp_matches(text, '{_LATIN}') then length(regexp_extract(text, '^((?s:.)*?){_LATIN}', 1)) else -1 end as integer) as first from b"""
+T44_INPUT_HASH = f"""with {_SPANS}
+select book_id, ordinal, sha256('{{"metadata":{{"engine":"fake","settings":{{"speed":1.0}}}},"text":' || cast(to_json(text) as varchar) || '}}') as input_hash from turns"""
+
+_REUSED = f"""{_SPANS},
+planned as (select book_id, chapter_index, ordinal as global_index, ordinal % 4 as local_index, sha256(text) as input_hash from turns),
+reused as (select *, (global_index + book_id) % 7 <> 0 and book_id % 5 <> 2 as reused from planned)"""
+J16_REUSE = f"with {_REUSED} select book_id, chapter_index, global_index, local_index, input_hash, reused from reused"
+A11_CHAPTER_COMPLETION = f"""with {_REUSED}, c as (select book_id, chapter_index, bool_and(reused) as complete from reused group by all)
+select book_id, count(*) as chapters, count(*) filter (complete) as complete_chapters, coalesce(min(chapter_index) filter (not complete), max(chapter_index)) as current_chapter from c group by book_id"""
+
+_CAST = f"""{_SPANS},
+counted as (
+  select book_id, speaker_id, count(*) as n_spans, case when speaker_id = 'user' then 1 else 2 end as ord, case when book_id % 3 = 0 and speaker_id = 'user' then 'female' end as gender
+  from spans where type = 'dialogue' group by book_id, speaker_id having count(*) >= 2
+), cast_rows as (
+  select book_id, speaker_id, 'character-' || speaker_id as cast_id, upper(left(speaker_id, 1)) || substring(speaker_id, 2) as label, n_spans, gender,
+    case when gender = 'female' then 'bf_emma' else ['am_adam', 'bf_emma', 'bm_lewis'][(row_number() over (partition by book_id order by ord) - 1) % 3 + 1] end as voice_id from counted
+)"""
+P06_CAST = f"with {_CAST} select book_id, cast_id, label, n_spans, coalesce(gender, '') as gender, voice_id from cast_rows"
+J12_SPEAKERS_TO_CAST = f"""with {_CAST}
+select book_id, span_id, coalesce(cast_id, 'narrator') as speaker_id, case when cast_id is null and s.speaker_id <> 'narrator' then 'unknown' else type end as type,
+  case when cast_id is null and s.speaker_id <> 'narrator' then 'speaker_not_cast' else '' end as reason from spans s left join cast_rows c using (book_id, speaker_id)"""
+
+_ALIASES = f"""{_SPANS},
+aliases as (
+  select book_id, role as character_id, ordinal as ord, case ordinal % 3 when 0 then 'proper' when 1 then 'nominal' else 'pronoun' end as kind,
+    case when ordinal % 3 = 2 then case when book_id % 2 = 0 then 'She' when ordinal % 2 = 0 then 'he' else 'her' end else string_split(text, ' ')[1] end as alias from turns
+)"""
+A13_CANONICAL_LABELS = f"""with {_ALIASES}, f as (
+  select book_id, character_id, arg_min(alias, ord) as first_alias, (list(alias order by length(alias) desc, ord) filter (kind = 'proper'))[1] as proper_alias,
+    count(distinct (alias, kind)) as n_aliases from aliases group by all)
+select book_id, character_id, case when length(proper_alias) > length(first_alias) then proper_alias else first_alias end as label, n_aliases from f"""
+A15_CHARACTER_GENDERS = f"""with {_ALIASES}, g as (select book_id, character_id, list_distinct(list(case when lower(alias) = 'he' then 'male' else 'female' end) filter (kind = 'pronoun')) as genders from aliases group by all)
+select book_id, character_id, case when len(genders) = 1 then genders[1] else '' end as gender from g"""
+
+R06_REMOVE_CAST = f"""with {_SPANS} select book_id, span_id, type, case when speaker_id = 'assistant' then 'narrator' else speaker_id end as speaker_id,
+  case when speaker_id = 'assistant' then 'speaker|assistant|narrator|cast_removed' else '' end as override from spans"""
+R07_MERGE_CAST = f"""with {_SPANS} select book_id, span_id, type, case when speaker_id = 'assistant' then 'user' else speaker_id end as speaker_id,
+  case when speaker_id = 'assistant' then 'speaker|assistant|user|cast_merged' else '' end as override from spans"""
+R08_OVERRIDE_SPANS = f"""with {_SPANS} select book_id, span_id, case ordinal % 4 when 1 then 'unknown' else type end as type,
+  case ordinal % 4 when 0 then 'user' when 1 then 'narrator' else speaker_id end as speaker_id,
+  case ordinal % 4 when 0 then 'speaker|' || speaker_id || '|user|review' when 1 then 'type|' || type || '|unknown|review' else '' end as override from spans"""
+A07_VOICE_COLLISIONS = f"""with {_SPANS}, m as (select distinct book_id, speaker_id from spans union select distinct book_id, 'narrator' from spans)
+select book_id, count(*) as cast_count, count(*) filter (speaker_id <> 'narrator' and book_id % 4 = 1) as voice_collisions from m group by book_id"""
+
+_RECORDS = f"""{_SPANS}, records as (
+  select book_id, span_id, speaker_id as original_speaker_id, case ordinal % 4 when 3 then 'unknown' else 'user' end as proposed_speaker_id,
+    case ordinal % 4 when 0 then speaker_id when 1 then 'user' else '' end as effective_speaker_id,
+    ['verified_consensus', 'auto_corrected', 'ambiguous', 'unresolved'][ordinal % 4 + 1] as decision_state, ordinal % 4 < 2 as auto_approved, ordinal % 4 >= 2 as review_required from spans
+)"""
+R11_DECISION_RECORDS = f"with {_RECORDS} select * from records"
+A08_VERIFICATION_SUMMARY = f"""with {_RECORDS} select book_id, count(*) as total, count(*) filter (decision_state = 'verified_consensus') as verified_consensus,
+  count(*) filter (decision_state = 'auto_corrected') as auto_corrected, count(*) filter (decision_state = 'ambiguous') as ambiguous, count(*) filter (decision_state = 'unresolved') as unresolved,
+  count(*) filter (auto_approved) as auto_approved, count(*) filter (review_required) as review_required, count(*) - count(distinct span_id) as repeated_ids from records group by book_id"""
+I09_STAGE_COUNTS = "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as hour, event_type as stage, count(*) as reports from events group by all"
+I01_RESUMED_CHUNKS = rf"""with t as (select distinct coalesce(text, '') as text from conversations)
+select sha256(text) as input_hash, cast(greatest(1, floor((greatest(1, len(regexp_extract_all(text, '[^\s\p{{Z}}]+'))) * 0.32::double + 0.25) * 24000 / 1.0::double)) as bigint) as frames from t"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL by query name."""
     return {name.lower(): sql for name, sql in globals().items() if name[0] != "_" and name.isupper() and isinstance(sql, str) and name != "ENGLISH_MARKERS"}
