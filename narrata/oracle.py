@@ -150,7 +150,7 @@ rows as (
 )"""
 
 W06_FILL_GAPS = f"""with {_SPANS},
-kept as (select * from spans where (ordinal % 10) % 3 <> 0),
+kept as (select * from spans where band <> 'low'),
 edges as (
   select c.book_id, c.chapter_index, span_id, source_start, source_end, type, speaker_id, start_offset, end_offset,
     coalesce(lag(source_end) over w, start_offset) as before, lead(source_start) over w as following
@@ -185,7 +185,7 @@ damaged as (
     case when source_start % 11 = 3 then 'span-00000' else span_id end as span_id from spans
 ), {_VIOLATIONS} select book_id, rule, count(*) as n from ruled group by book_id, rule"""
 
-W05_SPAN_COVERAGE = f"""with {_SPANS}, damaged as (select * from spans where (ordinal % 10) % 3 <> 0), {_VIOLATIONS}
+W05_SPAN_COVERAGE = f"""with {_SPANS}, damaged as (select * from spans where band <> 'low'), {_VIOLATIONS}
 select book_id, rule, span_id from ruled union all select book_id, 'INCOMPLETE_COVERAGE', span_id from seen where source_start > coalesce(ends, 0)"""
 
 A05_SPEAKING_COUNTS = f"""with {_SPANS} select book_id, speaker_id, count(*) as n_spans from spans where type in ('dialogue', 'unknown') and lower(speaker_id) not in ('', 'narrator', 'unknown') group by all"""
@@ -196,11 +196,11 @@ F06_REVIEW_PAGE = f"""with {_SPANS} select book_id, span_id, speaker_id, band, l
   order by book_id, source_start, span_id limit 50 offset 10"""
 
 _MATCHED = f"""{_SPANS},
-said as (select *, ordinal + book_id as n from spans where type = 'dialogue'),
-gold as (select book_id, source_start, source_end, speaker_id, case when n % 2 = 0 then 'explicit' else 'implicit' end as category from said),
+said as (select *, left(text, 1) as c from spans where type = 'dialogue'),
+gold as (select book_id, source_start, source_end, speaker_id, case when contains(text, ', ') then 'explicit' else 'implicit' end as category from said),
 predicted as (
-  select book_id, source_start + case when n % 10 = 7 then 1 else 0 end as source_start, source_end, speaker_id as original, case when n % 4 = 1 then 'narrator' else speaker_id end as effective,
-    case n % 5 when 0 then 'exception' when 1 then 'unresolved' when 2 then 'manual_correction' else 'auto_approved' end as state from said where n % 10 <> 3
+  select book_id, source_start + case when c = 'A' then 1 else 0 end as source_start, source_end, speaker_id as original, case when band = 'medium' then 'narrator' else speaker_id end as effective,
+    case when c < 'E' then 'exception' when c < 'J' then 'unresolved' when c < 'P' then 'manual_correction' else 'auto_approved' end as state from said where band <> 'low'
 ), matched as (
   select coalesce(g.book_id, p.book_id) as book_id, category, speaker_id, state, effective, original, speaker_id is not null and state is not null as paired,
     speaker_id is not null and state is not null and effective = speaker_id as correct from gold g full join predicted p
@@ -275,8 +275,8 @@ T44_INPUT_HASH = f"""with {_SPANS}
 select book_id, ordinal, sha256('{{"metadata":{{"engine":"fake","settings":{{"speed":1.0}}}},"text":' || cast(to_json(text) as varchar) || '}}') as input_hash from turns"""
 
 _REUSED = f"""{_SPANS},
-planned as (select book_id, chapter_index, ordinal as global_index, ordinal % 4 as local_index, sha256(text) as input_hash from turns),
-reused as (select *, (global_index + book_id) % 7 <> 0 and book_id % 5 <> 2 as reused from planned)"""
+planned as (select book_id, role, chapter_index, ordinal as global_index, ordinal % 4 as local_index, sha256(text) as input_hash from turns),
+reused as (select *, role <> 'system' and input_hash >= '2' as reused from planned)"""
 J16_REUSE = f"with {_REUSED} select book_id, chapter_index, global_index, local_index, input_hash, reused from reused"
 A11_CHAPTER_COMPLETION = f"""with {_REUSED}, c as (select book_id, chapter_index, bool_and(reused) as complete from reused group by all)
 select book_id, count(*) as chapters, count(*) filter (complete) as complete_chapters, coalesce(min(chapter_index) filter (not complete), max(chapter_index)) as current_chapter from c group by book_id"""
@@ -310,9 +310,9 @@ R06_REMOVE_CAST = f"""with {_SPANS} select book_id, span_id, type, case when spe
   case when speaker_id = 'assistant' then 'speaker|assistant|narrator|cast_removed' else '' end as override from spans"""
 R07_MERGE_CAST = f"""with {_SPANS} select book_id, span_id, type, case when speaker_id = 'assistant' then 'user' else speaker_id end as speaker_id,
   case when speaker_id = 'assistant' then 'speaker|assistant|user|cast_merged' else '' end as override from spans"""
-R08_OVERRIDE_SPANS = f"""with {_SPANS} select book_id, span_id, case ordinal % 4 when 1 then 'unknown' else type end as type,
-  case ordinal % 4 when 0 then 'user' when 1 then 'narrator' else speaker_id end as speaker_id,
-  case ordinal % 4 when 0 then 'speaker|' || speaker_id || '|user|review' when 1 then 'type|' || type || '|unknown|review' else '' end as override from spans"""
+R08_OVERRIDE_SPANS = f"""with {_SPANS} select book_id, span_id, case band when 'medium' then 'unknown' else type end as type,
+  case band when 'low' then 'user' when 'medium' then 'narrator' else speaker_id end as speaker_id,
+  case band when 'low' then 'speaker|' || speaker_id || '|user|review' when 'medium' then 'type|' || type || '|unknown|review' else '' end as override from spans"""
 A07_VOICE_COLLISIONS = f"""with {_SPANS}, m as (select distinct book_id, speaker_id from spans union select distinct book_id, 'narrator' from spans)
 select book_id, count(*) as cast_count, count(*) filter (speaker_id <> 'narrator' and book_id % 4 = 1) as voice_collisions from m group by book_id"""
 

@@ -75,10 +75,11 @@ def t44_input_hash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _reused(spark: SparkSession, folder: str) -> DataFrame:
-    """Turns are the planned chunks; of the completed ones some are missing and some have another text."""
-    plan = tables.turns(spark, folder).select("book_id", "chapter_index", F.col("ordinal").alias("global_index"), (F.col("ordinal") % tables.TURNS_A_CHAPTER).alias("local_index"), F.sha2("text", 256).alias("input_hash"))
-    done = plan.where((F.col("global_index") + F.col("book_id")) % 7 != 0)
-    return chunks.reuse(plan, done.withColumn("input_hash", F.when(F.col("book_id") % 5 == 2, F.lit("other")).otherwise(F.col("input_hash"))))
+    """Turns are the planned chunks; system turns aren't completed yet, and some had another text."""
+    turns = tables.turns(spark, folder)
+    plan = turns.select("book_id", "role", "chapter_index", F.col("ordinal").alias("global_index"), (F.col("ordinal") % tables.TURNS_A_CHAPTER).alias("local_index"), F.sha2("text", 256).alias("input_hash"))
+    done = plan.where("role <> 'system'").withColumn("input_hash", F.when(F.col("input_hash") < "2", F.lit("other")).otherwise(F.col("input_hash")))
+    return chunks.reuse(plan.drop("role"), done)
 
 
 @_registered
@@ -163,10 +164,11 @@ def r07_merge_cast(spark: SparkSession, folder: str) -> DataFrame:
 
 @_registered
 def r08_override_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Short spans are given to the user, and spans of middle length are made unknown."""
     plan = voice_plan(spark, folder)
-    n = F.substring("span_id", 6, 5).cast("int")
-    changes = plan.spans.where(n % 4 < 2).select(
-        "book_id", "span_id", F.when(n % 4 == 0, "speaker").otherwise("type").alias("kind"), F.when(n % 4 == 0, "user").otherwise("unknown").alias("to"), F.lit("user").alias("actor"), F.lit("review").alias("reason")
+    short = F.col("band") == "low"
+    changes = tables.spans(spark, folder).where("band <> 'high'").select(
+        "book_id", "span_id", F.when(short, "speaker").otherwise("type").alias("kind"), F.when(short, "user").otherwise("unknown").alias("to"), F.lit("user").alias("actor"), F.lit("review").alias("reason")
     )
     return _span_rows(plan.override_spans(changes, 1))
 
