@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from narrata.llm.common import cut
+
 #: Bytes that the gear hash sees, bits that have to be zero at a cut, and bounds of a chunk in bytes.
 WINDOW, CUT_BITS, LEAST, MOST = 16, 5, 16, 1024
 #: Bytes that touching repeated chunks need to count as a repeated passage.
@@ -108,7 +110,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     all_chunks = chunks(docs, id_col, text_col)
     repeated = all_chunks.groupBy("high", "low").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
-    repeated = repeated.select(F.col("high").alias("r_high"), F.col("low").alias("r_low"), "first_id")
+    # Cut, so that the join deals out both sides anew and Spark can split a digest that many documents hold.
+    repeated = cut(repeated.select(F.col("high").alias("r_high"), F.col("low").alias("r_low"), "first_id"))
     places = all_chunks.join(repeated, (F.col("high") == F.col("r_high")) & (F.col("low") == F.col("r_low")))
     in_doc = Window.partitionBy("doc_id").orderBy("start")
     same = Window.partitionBy("doc_id", "high", "low").orderBy("start")

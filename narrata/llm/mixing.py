@@ -7,7 +7,7 @@ the domains match the targets in the least-squares sense.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from functools import reduce
 from math import log
 from typing import NamedTuple
@@ -37,11 +37,25 @@ class Membership(NamedTuple):
     letters: list[list[float]]
 
 
-def _counts(text: Column) -> list[Column]:
-    """How often each of LETTERS stands in a text, and how many characters are none of them."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    counts = [(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in LETTERS]
-    return [*counts, F.length(low).cast("double") - reduce(lambda a, b: a + b, counts)]
+#: Columns that a text's counts and posterior go through; all of them are dropped again.
+_LOW, _COUNT, _LOG, _WEIGHT = "_mix_low", "_mix_count", "_mix_log", "_mix_weight"
+
+
+def _sum(columns: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a + b, columns)
+
+
+def _with_counts(rows: DataFrame, text: Column) -> DataFrame:
+    """``rows`` with counts of each of LETTERS in a text, and last of the characters that are none of them.
+
+    A text is lowered once, in a step of its own, and letters are counted by what is shorter without
+    them; plain columns keep all of it in generated code.
+    """
+    rows = rows.withColumn(_LOW, F.lower(F.coalesce(text, F.lit(""))))
+    size = F.octet_length(_LOW)
+    counts = {f"{_COUNT}{i}": ((size - F.octet_length(F.replace(_LOW, F.lit(c), F.lit("")))) / len(c.encode())).cast("double") for i, c in enumerate(LETTERS)}
+    rows = rows.withColumns(counts | {"_mix_length": F.length(_LOW).cast("double")}).drop(_LOW)
+    return rows.withColumn(f"{_COUNT}{len(LETTERS)}", F.col("_mix_length") - _sum(map(F.col, counts))).drop("_mix_length")
 
 
 def tokens(text: Column) -> Column:
@@ -53,8 +67,8 @@ def train(docs: DataFrame, labels: DataFrame, domain_col: str = "lang", sample:
     """The letter model (multinomial naive Bayes) of the domains of at most ``sample`` labelled documents."""
     named = docs.where(F.col(domain_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(domain_col).cast("string").alias("domain"))
     chosen = labelled_sample(named, labels.select("doc_id", F.lit(1.0).alias("known")), "known", sample).select("doc_id").withColumnRenamed("doc_id", "s_id")
-    rows = named.join(F.broadcast(chosen), F.col("doc_id") == F.col("s_id")).select("domain", F.array(*_counts(F.col("text"))).alias("x"))
-    sums = [F.sum(F.col("x")[i]).alias(f"x{i}") for i in range(len(LETTERS) + 1)]
+    rows = _with_counts(named.join(F.broadcast(chosen), F.col("doc_id") == F.col("s_id")), F.col("text"))
+    sums = [F.sum(f"{_COUNT}{i}").alias(f"x{i}") for i in range(len(LETTERS) + 1)]
     found = rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), *sums).orderBy(F.desc("n"), "domain").limit(MOST_DOMAINS).collect()
 
     found = sorted(found, key=lambda r: r["domain"])
@@ -66,19 +80,18 @@ def train(docs: DataFrame, labels: DataFrame, domain_col: str = "lang", sample:
     return Membership([r["domain"] for r in found], [log(r["n"] / total) for r in found], letters)
 
 
-def posteriors(model: Membership, text: Column) -> Column:
-    """An array of the document's membership in each domain; the sum is one."""
-    counts = F.array(*_counts(text))
-
-    def softmax(x: Column) -> Column:
-        n = reduce(lambda a, b: a + b, (x[i] for i in range(len(LETTERS) + 1)))
-        scale = F.lit(EVIDENCE) / F.greatest(n, F.lit(EVIDENCE))
-        logs = [F.lit(p) + scale * reduce(lambda a, b: a + b, (x[i] * F.lit(v) for i, v in enumerate(row))) for p, row in zip(model.prior, model.letters)]
-        return F.array(*logs)
-
-    logs = F.transform(F.array(counts), softmax)[0]
-    weights = F.transform(F.array(logs), lambda a: F.transform(a, lambda v: F.exp(v - F.array_max(a))))[0]
-    return F.transform(F.array(weights), lambda a: F.transform(a, lambda v: v / F.aggregate(a, F.lit(0.0), lambda s, w: s + w)))[0]
+def with_membership(rows: DataFrame, model: Membership, text: Column, column: str = "posterior") -> DataFrame:
+    """``rows`` with an array of the document's membership in each domain; the sum is one."""
+    if not model.domains:
+        return rows.withColumn(column, F.array().cast("array<double>"))
+    names = [f"{_COUNT}{i}" for i in range(len(LETTERS) + 1)]
+    domains = range(len(model.domains))
+    counted = _with_counts(rows, text).withColumn("_mix_scale", F.lit(EVIDENCE) / F.greatest(_sum(map(F.col, names)), F.lit(EVIDENCE)))
+    logs = {f"{_LOG}{k}": F.lit(model.prior[k]) + F.col("_mix_scale") * _sum(F.col(n) * F.lit(v) for n, v in zip(names, model.letters[k])) for k in domains}
+    top = F.greatest(*logs) if len(logs) > 1 else F.col(f"{_LOG}0")
+    weighed = counted.withColumns(logs).withColumn("_mix_top", top).withColumns({f"{_WEIGHT}{k}": F.exp(F.col(f"{_LOG}{k}") - F.col("_mix_top")) for k in domains})
+    whole = weighed.withColumn("_mix_whole", _sum(F.col(f"{_WEIGHT}{k}") for k in domains))
+    return whole.withColumn(column, F.array(*(F.col(f"{_WEIGHT}{k}") / F.col("_mix_whole") for k in domains))).select(*(c for c in rows.columns if c != column), column)
 
 
 def rate(posterior: Column, steps: list[list[float]]) -> Column:
@@ -126,8 +139,8 @@ def mixing_rates(
     extra columns are ignored. Without labelled rows there are no domains, and all rates are one.
     """
     model = train(docs, labels, domain_col, sample, text_col, id_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("n_tokens"), _membership(model, F.col(text_col)).alias("posterior"))
-    rows = cut(rows)
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), tokens(F.col(text_col)).alias("n_tokens"))
+    rows = cut(with_membership(texts, model, F.col("text")).select("doc_id", "n_tokens", "posterior"))
     steps = fit_steps(rows, model, targets) if model.domains else []
     rated = rows.withColumn("rate", rate(F.col("posterior"), steps))
     names = F.array(*(F.lit(d) for d in model.domains)).cast("array<string>")
@@ -136,10 +149,6 @@ def mixing_rates(
     )
 
 
-def _membership(model: Membership, text: Column) -> Column:
-    return posteriors(model, text) if model.domains else F.array().cast("array<double>")
-
-
 def copies(rate_: Column, key: Column) -> Column:
     """A whole number whose expectation over keys is the rate."""
     chance = F.shiftrightunsigned(F.xxhash64(key, F.lit("copies")), 11).cast("double") / F.lit(float(1 << 53))
@@ -154,10 +163,9 @@ def mixed_documents(docs: DataFrame, labels: DataFrame, targets: Mapping[str, fl
     model = train(docs, labels, domain_col, text_col=text_col, id_col=id_col)
     if not model.domains:
         return docs
-    posterior = posteriors(model, F.col(text_col))
-    rows = cut(docs.select(tokens(F.col(text_col)).alias("n_tokens"), posterior.alias("posterior")))
-    steps = fit_steps(rows, model, targets)
-    # The row repeats by exploding a list of as many numbers as it has copies.
-    rated = docs.withColumn("_mix_posterior", posterior)
-    times = copies(rate(F.col("_mix_posterior"), steps), F.col(id_col))
-    return rated.withColumn("_mix_copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>")))).select(*docs.columns)
+    texts = docs.select(F.col(text_col).alias("text"), tokens(F.col(text_col)).alias("n_tokens"))
+    steps = fit_steps(cut(with_membership(texts, model, F.col("text")).select("n_tokens", "posterior")), model, targets)
+    rated = with_membership(docs, model, F.col(text_col), "_mix_posterior").withColumn("_mix_rate", rate(F.col("_mix_posterior"), steps))
+    timed = rated.withColumn("_mix_times", copies(F.col("_mix_rate"), F.col(id_col)))
+    # A row repeats by exploding a list of as many numbers as it has copies.
+    return timed.where("_mix_times > 0").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*docs.columns)

@@ -10,14 +10,14 @@ Spark then commits them once (lost executors, retries) and on whatever store it
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import re
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -31,12 +31,16 @@ BLOCK_IDS, SEGMENT_IDS = 1 << 16, 1 << 20
 #: The id after each document.
 END_ID = 2
 #: Distinct words whose ids a worker keeps.
-MEMO = 400_000
+MEMO = 600_000
 #: Rows of the table of parts that may be broadcast (16 bytes each).
 BROADCAST_PARTS = 200_000
 
-#: No pre-token of the byte-level scheme spans a place before a blank that something else than white space follows.
-_SPLIT = re.compile(r"(?<!^) (?=[^\s\x1c-\x1f])")
+#: No pre-token of the byte-level scheme spans a place before a blank that something else than white space follows,
+_SPLIT = re.compile(r"(?= [^\s\x1c-\x1f])")
+#: nor one between a letter or digit and ASCII punctuation,
+_INNER = re.compile(r"(?<=[0-9A-Za-zÀ-ÖØ-öø-ÿ])(?=[!-/:-@\[-`{-~])")
+#: nor the places round a line feed that no other white space touches.
+_OTHER_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 
 
 def default_tokenizer() -> str:
@@ -55,26 +59,75 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
+        self.feed = self._single(["\n"])["\n"]
+        self.words: dict[str, bytes] = {}  # of words after a blank, which isn't in the key, or with their line feed
+        self.parts: dict[str, bytes] = {}  # of pieces as they are
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, with the end id."""
-        pieces = [self._pieces(t) for t in texts]
-        new = list(dict.fromkeys(p for words in pieces for p in words if p not in self.known))
-        if len(self.known) + len(new) > MEMO:
-            self.known = {}
-            new = list(dict.fromkeys(p for words in pieces for p in words))
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for piece, x in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[piece] = np.array(x.ids, "<u4").tobytes()
-        end, get = np.array([END_ID], "<u4").tobytes(), self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)) + end, "<u4") for words in pieces]
-
-    @staticmethod
-    def _pieces(text: str) -> list[str]:
-        first, *rest = _SPLIT.split(text)
-        return [first, *(" " + x for x in rest)] if first else [" " + x for x in rest]
+        words, others, places = [], [], []
+        for t in texts:
+            first, *rest = t.replace("\n", " \n").split(" ") if _plain(t) else (None,)
+            others += _SPLIT.split(t) if first is None else [first]
+            words += rest
+            places.append((len(others), len(words)))
+        words = _looked_up(self.words, words, self._word_ids)
+        others = _looked_up(self.parts, others, self._single)
+        end, out, a, b = np.array([END_ID], "<u4").tobytes(), [], 0, 0
+        for c, d in places:
+            out.append(np.frombuffer(b"".join((*others[a:c], *words[b:d], end)), "<u4"))
+            a, b = c, d
+        return out
+
+    def _word_ids(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words, which are cut before their punctuation, so that a word with many endings is encoded once."""
+        cut = [_INNER.split(w[1:] if w[:1] == "\n" else " " + w) for w in words]
+        flat = [p for parts in cut for p in parts]
+        ids = _looked_up(self.parts, flat, self._joint)
+        out, at = {}, 0
+        for w, parts in zip(words, cut):
+            end = at + len(parts)
+            out[w] = b"".join(([self.feed] if w[:1] == "\n" else []) + ids[at:end])
+            at = end
+        return out
+
+    def _single(self, pieces: list[str]) -> dict[str, bytes]:
+        return {p: np.array(x.ids, "<u4").tobytes() for p, x in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False))}
+
+    def _joint(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of pieces without white space but a blank at the beginning, many in one text between line feeds."""
+        out = self._single([p for p in pieces if not p.strip(" ")])
+        pieces = [p for p in pieces if p.strip(" ")]
+        feed = int(np.frombuffer(self.feed, "<u4")[0])
+        groups = [pieces[at : at + 500] for at in range(0, len(pieces), 500)]
+        texts = ["\n".join(["", *g, ""]) for g in groups]
+        for group, x in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(x.ids, "<u4")
+            ends = (np.flatnonzero(ids == feed) * 4).tolist()
+            if len(self.feed) != 4 or len(ends) != len(group) + 1:  # a vocabulary without an id for a line feed alone
+                out |= self._single(group)
+                continue
+            data = ids.tobytes()
+            out.update(zip(group, [data[a + 4 : b] for a, b in zip(ends, ends[1:])]))
+        return out
+
+
+def _looked_up(known: dict[str, bytes], pieces: list[str], learn: Callable[[list[str]], dict[str, bytes]]) -> list[bytes]:
+    """The ids of each piece; those that aren't known are learnt and kept."""
+    found = list(map(known.get, pieces))
+    new = list({p for p, ids in zip(pieces, found) if ids is None})
+    if not new:
+        return found
+    fresh = learn(new)
+    if len(known) + len(new) > MEMO:
+        known.clear()
+    known.update(fresh)
+    return [fresh[p] if ids is None else ids for p, ids in zip(pieces, found)]
+
+
+def _plain(text: str) -> bool:
+    """Whether the white space of a text is single blanks and line feeds, no two of them side by side."""
+    return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or any(c in text for c in _OTHER_SPACES))
 
 
 @lru_cache(maxsize=2)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from narrata.functions import text as T
+from narrata.operators import boundaries
 
 
 def heading_candidates(cleaned: DataFrame) -> DataFrame:
@@ -61,3 +65,65 @@ def rename(plan: DataFrame, titles: DataFrame) -> DataFrame:
     """The plan with new titles (book_id, index, new_title) where there are some, of 200 characters at most."""
     met = plan.join(titles, ["book_id", "index"], "left")
     return met.select(*(F.left(F.coalesce("new_title", "title"), F.lit(200)).alias("title") if c == "title" else F.col(c) for c in plan.columns))
+
+
+#: Bounds of a custom chapter count, and words below which chapters are short.
+LEAST_COUNT, MOST_COUNT, SHORT_WORDS = 2, 50, 250
+
+
+def custom_boundaries(text: str, count: int, supplied: dict[int, str] | None = None) -> list[tuple[int, str | None, str]] | None:
+    """Starts of ``count`` chapters of about equal words, each at a heading, paragraph or sentence; None if there are too few.
+
+    The k-th start aims at k of ``count`` equal parts. Of the places that leave enough for the starts
+    after it, those within a window round the aim are preferred, headings among them first; then rank,
+    distance and offset decide. ``supplied``: titles by offset that rank as headings.
+    """
+    ranked: dict[int, tuple[int, str | None, str]] = {o: (2, None, "custom") for o in boundaries.sentence_starts(text)}
+    ranked |= {o: (1, None, "custom") for o in boundaries.paragraph_starts(text)}
+    headings = dict(boundaries.heading_starts(text))
+    ranked |= {o: (0, t, "heading") for o, t in headings.items()}
+    ranked |= {o: (0, t, "candidate") for o, t in (supplied or {}).items()}
+    places = sorted(o for o in ranked if 0 < o < len(text))
+    if len(places) < count - 1:
+        return None
+    words = boundaries.word_starts(text)
+    at = [bisect_left(words, o) for o in places]
+    window = max(10.0, min(len(words) / count / 2, 40.0))
+    starts, low = [], 0
+    for k in range(1, count):
+        high = len(places) - (count - 1 - k)  # the starts after this one need a place each
+        away = [(ranked[places[i]][0], abs(at[i] - len(words) * k / count), places[i], i) for i in range(low, high)]
+        near = [x for x in away if x[1] <= window]
+        _, _, place, i = min([x for x in near if x[0] == 0] or near or away)
+        starts.append(place)
+        low = i + 1
+    first = (0, (supplied or {}).get(0) or headings.get(0), "heading" if 0 in headings else "custom")
+    return [first, *((o, ranked[o][1], ranked[o][2]) for o in starts)]
+
+
+def custom_plan(books: DataFrame, count: int) -> DataFrame:
+    """Plans of ``count`` chapters; a book that can't be cut so often has no rows."""
+    if not LEAST_COUNT <= count <= MOST_COUNT:
+        raise ValueError("INVALID_COUNT")
+
+    @F.pandas_udf("array<struct<offset:long,title:string,source_type:string>>")
+    def planned(texts: pd.Series) -> pd.Series:
+        found = (custom_boundaries(t, count) for t in texts)
+        return pd.Series([f and [{"offset": o, "title": t, "source_type": s} for o, t, s in f] for f in found], dtype="object")
+
+    rows = books.where("text <> ''").withColumn("starts", planned("text")).where("starts is not null")
+    order = Window.partitionBy("book_id").orderBy("start_offset")
+    flat = rows.select("book_id", F.length("text").cast("long").alias("n"), F.posexplode("starts").alias("pos", "s"))
+    flat = flat.select("book_id", "n", (F.col("pos") + 1).alias("index"), F.col("s.offset").alias("start_offset"), "s.title", "s.source_type")
+    return flat.select(
+        "book_id", "index", F.coalesce("title", F.format_string("Chapter %02d", F.col("index"))).alias("title"), "start_offset",
+        F.coalesce(F.lead("start_offset").over(order), F.col("n")).alias("end_offset"), "source_type",
+    )
+
+
+def short_chapters(planned: DataFrame) -> DataFrame:
+    """``(book_id, words_a_chapter, recommended)``: plans whose chapters are short, with the count that wouldn't be (1: whole book)."""
+    facts = planned.groupBy("book_id").agg(F.count(F.lit(1)).alias("chapters"), F.sum("word_count").alias("words"))
+    short = facts.where(F.col("words") / F.col("chapters") < SHORT_WORDS)
+    fit = F.floor(F.col("words") / SHORT_WORDS)
+    return short.select("book_id", (F.col("words") / F.col("chapters")).alias("words_a_chapter"), F.when(fit >= LEAST_COUNT, fit).otherwise(1).alias("recommended"))

@@ -330,6 +330,30 @@ I01_RESUMED_CHUNKS = rf"""with t as (select distinct coalesce(text, '') as text
 select sha256(text) as input_hash, cast(greatest(1, floor((greatest(1, len(regexp_extract_all(text, '[^\s\p{{Z}}]+'))) * 0.32::double + 0.25) * 24000 / 1.0::double)) as bigint) as frames from t"""
 
 
+P01_SHORT_CHAPTERS = f"""with {_PLAN}, f as (
+  select book_id, count(*) as chapters, sum({_count('substring(text, start_offset + 1, end_offset - start_offset)', _LATIN)}) as words from plan group by book_id)
+select book_id, words / chapters as words_a_chapter, cast(case when words // 250 >= 2 then words // 250 else 1 end as bigint) as recommended from f where words / chapters < 250"""
+
+_TOKENS = f"""{_SPANS},
+split_words as (select book_id, ordinal, string_split(text, ' ') as w from turns),
+tokens as (
+  select book_id, ordinal, row_number() over (partition by book_id order by ordinal, pos) - 1 as token_id, w[pos] as word, case when pos = 1 then '' else ' ' end as gap
+  from (select *, unnest(range(1, len(w) + 1)) as pos from split_words)
+), places as (
+  select book_id, ordinal, token_id, word, cast(sum(length(gap) + length(word)) over w as bigint) as char_end, cast(sum(octet_length(encode(gap)) + octet_length(encode(word))) over w as bigint) as byte_end
+  from tokens window w as (partition by book_id order by token_id)
+)"""
+W13_TOKEN_OFFSETS = f"""with {_TOKENS} select book_id, token_id, word, char_end - length(word) as char_start, char_end, byte_end - octet_length(encode(word)) as byte_start, byte_end from places"""
+J08_QUOTE_PLACES = f"""with {_TOKENS} select book_id, ordinal as quote_id, min(char_end - length(word)) as source_start, max(char_end) as source_end from places group by book_id, ordinal"""
+W11_WITHOUT_OVERLAPS = f"""with recursive {_SPANS}, q as (
+  select book_id, source_start, source_end + length(text) // 10 as source_end, ordinal as quote_id, row_number() over (partition by book_id order by source_start, source_end + length(text) // 10, ordinal) as n from turns
+), fold as (
+  select book_id, n, source_start, source_end, quote_id, true as kept, source_end as reach from q where n = 1
+  union all select q.book_id, q.n, q.source_start, q.source_end, q.quote_id, q.source_start >= f.reach, case when q.source_start >= f.reach then q.source_end else f.reach end
+  from fold f join q on q.book_id = f.book_id and q.n = f.n + 1
+) select book_id, source_start, source_end, quote_id from fold where kept"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL by query name."""
     return {name.lower(): sql for name, sql in globals().items() if name[0] != "_" and name.isupper() and isinstance(sql, str) and name != "ENGLISH_MARKERS"}

@@ -8,8 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from narrata.operators import boundaries, cast, chunks, verification
+from narrata.operators import boundaries, cast, chapters, chunks, offsets, verification
 from narrata.plans.revisions import OVERRIDE, Plan, collisions
 from narrata.queries import _plan, _registered
 from narrata.sources import tables
@@ -50,6 +51,44 @@ def p04_chapter_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return _digest(chunks.chapter_chunks(_chapter_texts(spark, folder)))
 
 
+@_registered
+def p01_custom_plan(spark: SparkSession, folder: str) -> DataFrame:
+    return chapters.custom_plan(_plan(spark, folder)[1], 3)
+
+
+@_registered
+def p01_short_chapters(spark: SparkSession, folder: str) -> DataFrame:
+    plan, books = _plan(spark, folder)
+    return chapters.short_chapters(chapters.with_words(plan, books))
+
+
+def _tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Blank-separated words of turns as analyzer tokens, numbered through the book."""
+    t = tables.turns(spark, folder).select("book_id", "ordinal", F.posexplode(F.split("text", " ")).alias("pos", "word"))
+    order = Window.partitionBy("book_id").orderBy("ordinal", "pos")
+    gap = F.when(F.col("pos") == 0, "").otherwise(" ")
+    return t.select("book_id", "ordinal", (F.row_number().over(order) - 1).cast("long").alias("token_id"), "word", gap.alias("gap"))
+
+
+@_registered
+def w13_token_offsets(spark: SparkSession, folder: str) -> DataFrame:
+    return offsets.token_offsets(_tokens(spark, folder))
+
+
+@_registered
+def j08_quote_places(spark: SparkSession, folder: str) -> DataFrame:
+    tokens = _tokens(spark, folder)
+    quotes = tokens.groupBy("book_id", F.col("ordinal").alias("quote_id")).agg(F.min("token_id").alias("start_token"), F.max("token_id").alias("end_token"))
+    return offsets.quote_places(quotes, offsets.token_offsets(tokens))
+
+
+@_registered
+def w11_without_overlaps(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns stretched by a tenth of their length run over the next one's beginning."""
+    t = tables.turns(spark, folder)
+    return offsets.without_overlaps(t.select("book_id", "source_start", (F.col("source_end") + F.floor(F.length("text") / 10)).alias("source_end"), F.col("ordinal").alias("quote_id")))
+
+
 @_registered
 def t15_sentence_starts(spark: SparkSession, folder: str) -> DataFrame:
     found = tables.books(spark, folder).select("book_id", boundaries.sentence_start_column(F.col("text")).alias("at"))
