@@ -113,3 +113,43 @@ def chapter_completion(reused: DataFrame) -> DataFrame:
     return chapters.groupBy("book_id").agg(
         F.count(F.lit(1)).alias("chapters"), F.count_if("complete").alias("complete_chapters"), F.coalesce(first_open, F.max("chapter_index")).alias("current_chapter")
     )
+
+
+def interactive_chunks(spans: DataFrame, cast: DataFrame, cap: int, revision: int, settings: dict[str, str]) -> DataFrame:
+    """Chunks of an approved plan: none crosses a span, each has the voice of its span's speaker, and two digests.
+
+    ``spans``: book_id, chapter_index, span_id, source_start, type, speaker_id, text; ``cast``: book_id,
+    cast_id, voice_id. Unknown spans are narration. ``input_hash`` covers the plan's revision,
+    ``audio_input_hash`` doesn't: audio stays good where only the plan around it has changed. Both are
+    digests of JSON objects with keys in order.
+    """
+    bounded = spans.where("text <> ''").withColumns({"ends": B.chunk_end_column(F.col("text")), "paragraphs": B.paragraph_end_column(F.col("text"))})
+    rows = bounded.withColumn("taken", _pack(cap)).select("*", F.posexplode("taken").alias("nth", "end"))
+    rows = rows.withColumn("begin", F.when(F.col("nth") == 0, 0).otherwise(F.get("taken", F.col("nth") - 1)))
+    book = Window.partitionBy("book_id").orderBy("chapter_index", "source_start")
+    chapter = Window.partitionBy("book_id", "chapter_index").orderBy("source_start")
+    told = F.when(F.col("type") == "unknown", "narration").otherwise(F.col("type"))
+    pieces = rows.select(
+        "book_id", "chapter_index", "span_id", told.alias("segment_type"), "speaker_id", F.expr("substring(text, begin + 1, end - begin)").alias("text"),
+        (F.col("source_start") + F.col("begin")).alias("source_start"), (F.col("source_start") + F.col("end")).alias("source_end"),
+    )
+    voiced = pieces.join(cast.select("book_id", F.col("cast_id").alias("speaker_id"), "voice_id"), ["book_id", "speaker_id"])
+    fixed = {k: F.lit(v) for k, v in settings.items()}
+
+    def digest(**more: Column) -> Column:
+        fields = fixed | {"text": F.col("text"), "voice_id": F.col("voice_id"), "segment_type": F.col("segment_type")} | more
+        return F.sha2(F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields)))), 256)
+
+    return voiced.select(
+        "book_id", "chapter_index", (F.row_number().over(book) - 1).alias("global_index"), (F.row_number().over(chapter) - 1).alias("local_index"),
+        "source_start", "source_end", "span_id", "speaker_id", "voice_id", "segment_type", "text",
+        digest(revision=F.lit(revision), span_id=F.col("span_id")).alias("input_hash"), digest().alias("audio_input_hash"),
+    )
+
+
+def plan_matches(recorded: DataFrame, planned: DataFrame) -> DataFrame:
+    """``(book_id, matches)``: whether a book's recorded chunks are the planned ones, one by one."""
+    columns = ["chapter_index", "local_index", "input_hash"]
+    r = recorded.select("book_id", "global_index", F.struct(*columns).alias("r"))
+    p = planned.select("book_id", "global_index", F.struct(*columns).alias("p"))
+    return r.join(p, ["book_id", "global_index"], "full").groupBy("book_id").agg(F.bool_and(F.col("r").eqNullSafe(F.col("p"))).alias("matches"))

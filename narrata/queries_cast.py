@@ -51,6 +51,25 @@ def p04_chapter_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return _digest(chunks.chapter_chunks(_chapter_texts(spark, folder)))
 
 
+def _interactive(spark: SparkSession, folder: str) -> DataFrame:
+    members = voice_plan(spark, folder).cast.select("book_id", "cast_id", "voice_id")
+    return chunks.interactive_chunks(tables.spans(spark, folder), members, 200, 1, {"engine": "fake"})
+
+
+@_registered
+def p05_interactive_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return _digest(_interactive(spark, folder))
+
+
+@_registered
+def j18_plan_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """Recorded chunks are one a turn, so that books whose turns are all short match their plan by place."""
+    planned = _interactive(spark, folder).withColumn("input_hash", F.sha2("text", 256))
+    turns = tables.turns(spark, folder).withColumn("local_index", (F.col("ordinal") % tables.TURNS_A_CHAPTER).cast("int"))
+    recorded = turns.select("book_id", F.col("ordinal").cast("int").alias("global_index"), "chapter_index", "local_index", F.sha2("text", 256).alias("input_hash"))
+    return chunks.plan_matches(recorded, planned)
+
+
 @_registered
 def p01_custom_plan(spark: SparkSession, folder: str) -> DataFrame:
     return chapters.custom_plan(_plan(spark, folder)[1], 3)
