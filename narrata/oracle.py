@@ -287,7 +287,7 @@ counted as (
   from spans where type = 'dialogue' group by book_id, speaker_id having count(*) >= 2
 ), cast_rows as (
   select book_id, speaker_id, 'character-' || speaker_id as cast_id, upper(left(speaker_id, 1)) || substring(speaker_id, 2) as label, n_spans, gender,
-    case when gender = 'female' then 'bf_emma' else ['am_adam', 'bf_emma', 'bm_lewis'][(row_number() over (partition by book_id order by ord) - 1) % 3 + 1] end as voice_id from counted
+    case when gender = 'female' then 'bf_three' else ['am_two', 'bf_three', 'bm_four'][(row_number() over (partition by book_id order by ord) - 1) % 3 + 1] end as voice_id from counted
 )"""
 P06_CAST = f"with {_CAST} select book_id, cast_id, label, n_spans, coalesce(gender, '') as gender, voice_id from cast_rows"
 J12_SPEAKERS_TO_CAST = f"""with {_CAST}
@@ -354,6 +354,21 @@ W11_WITHOUT_OVERLAPS = f"""with recursive {_SPANS}, q as (
 ) select book_id, source_start, source_end, quote_id from fold where kept"""
 
 
+V09_CAST_RULES = f"""with {_SPANS}, m as (select distinct book_id, speaker_id from spans where speaker_id <> 'assistant'),
+f as (select book_id, bool_or(speaker_id = 'narrator') as narrated, bool_or(speaker_id <> 'narrator') as other from m group by book_id)
+select book_id, 'MISSING_NARRATOR' as rule from f where not narrated
+union all select book_id, 'NARRATOR_VOICE_MISMATCH' from f where other
+union all select distinct book_id, 'UNKNOWN_SPEAKER_REFERENCE' from spans where speaker_id = 'assistant'"""
+V12_RECORD_RULES = f"""with {_RECORDS}
+select book_id, span_id, 'speakers' as rule from records where case decision_state when 'verified_consensus' then original_speaker_id <> 'user'
+  when 'auto_corrected' then original_speaker_id = 'user' when 'ambiguous' then true else false end"""
+V13_CHUNK_LOG = f"""with {_SPANS}, l as (
+  select book_id, ordinal as global_index, sha256(text) as h, length(text) as n, count(*) filter (length(text) >= 60) over (partition by book_id) as total_chunks from turns
+), s as (select *, max(global_index) over (partition by book_id order by h, global_index rows between unbounded preceding and 1 preceding) as before from l)
+select book_id, global_index, 'exceeds_total' as rule from s where global_index >= total_chunks
+union all select book_id, global_index, 'order' from s where global_index <= before union all select book_id, global_index, 'duration' from s where n = 0"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL by query name."""
     return {name.lower(): sql for name, sql in globals().items() if name[0] != "_" and name.isupper() and isinstance(sql, str) and name != "ENGLISH_MARKERS"}

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from narrata.operators import boundaries, cast, chapters, chunks, offsets, verification
+from narrata.operators import boundaries, cast, chapters, chunks, offsets, rules, verification
 from narrata.plans.revisions import OVERRIDE, Plan, collisions
 from narrata.queries import _plan, _registered
 from narrata.sources import tables
@@ -20,7 +20,7 @@ from narrata.streaming import resume
 CAP = 300
 SETTINGS = {"engine": "fake", "settings": {"speed": 1.0}}
 #: A narrator's and three other voices; the second letter of an id is the voice's gender.
-VOICES = ["af_heart", "am_adam", "bf_emma", "bm_lewis"]
+VOICES = ["af_one", "am_two", "bf_three", "bm_four"]
 LEAST_QUOTES = 2
 
 
@@ -275,3 +275,33 @@ def i01_resumed_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{base}/done").select("input_hash", "frames")
 
 
+
+
+@_registered
+def v09_cast_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations as plans in which only roles that speak are cast: books without a system turn lack a narrator."""
+    lines = tables.spans(spark, folder).select("book_id", "speaker_id")
+    roles = lines.distinct().where("speaker_id <> 'assistant'")
+    members = roles.select(
+        "book_id", F.col("speaker_id").alias("cast_id"), F.when(F.col("speaker_id") == "narrator", "narrator").otherwise("character").alias("role"),
+        F.lit("same_as_narrator").alias("relationship"), F.when(F.col("speaker_id") == "narrator", VOICES[0]).otherwise(VOICES[1]).alias("voice_id"),
+    )
+    return rules.cast_violations(members, lines)
+
+
+@_registered
+def v12_record_rules(spark: SparkSession, folder: str) -> DataFrame:
+    records = _records(spark, folder).withColumns({"alternative_speaker_id": F.lit(None).cast("string"), "confidence": F.lit(0.5)})
+    return rules.violations(records, ["book_id", "span_id"], rules.record_rules())
+
+
+@_registered
+def v13_chunk_log(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns as a log of completed chunks in the order of their hashes; the total is what has at least 60 characters."""
+    t = tables.turns(spark, folder)
+    total = F.count_if(F.length("text") >= 60).over(Window.partitionBy("book_id"))
+    log = t.select(
+        "book_id", F.sha2("text", 256).alias("input_hash"), "chapter_index", F.col("ordinal").alias("global_index"), F.lit(0).alias("local_index"),
+        (F.length("text") / 15.0).alias("duration_seconds"), total.alias("total_chunks"), F.struct(F.sha2("text", 256), F.col("ordinal")).alias("ord"),
+    )
+    return rules.chunk_log_violations(log)
