@@ -1,13 +1,15 @@
 """Packing of chapters into speakable chunks, and hashes that decide what can be reused.
 
-Boundaries come as arrays from one scan of a chapter; packing is a fold over them inside the row, so a
-chapter is never brought together with others.
+A chapter is packed in one scan of its own text, inside its row, so chapters are never brought together.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import math
+from bisect import bisect_right
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,26 +19,29 @@ from pyspark.sql.window import Window
 from narrata.operators import boundaries as B
 
 
-def _pack(cap: int) -> Column:
-    """Chunk ends of ``text``: the last paragraph end within the cap, else the last sentence end, else the next one.
-
-    The fold keeps where the chunk began and the ends taken; each step looks only at the boundaries.
-    """
-    ends, marks = F.col("ends"), F.col("paragraphs")
-    size = F.length("text")
+def _sentence_taken(text: str, cap: int) -> list[int]:
+    """Chunk ends: the last paragraph end within the cap, else the last sentence end, else the next one."""
+    ends = B.chunk_sentence_ends(text)
+    marks = sorted(set(B.paragraph_ends(text)).intersection(ends))
+    taken, cursor = [], 0
+    while cursor < len(text):
+        target = min(len(text), cursor + cap)
+        i, m = bisect_right(ends, target), bisect_right(marks, target)
+        if m and marks[m - 1] > cursor:
+            cursor = marks[m - 1]
+        elif i and ends[i - 1] > cursor:
+            cursor = ends[i - 1]
+        else:
+            cursor = ends[i] if i < len(ends) else len(text)
+        taken.append(cursor)
+    return taken
 
-    def last_within(bounds: Column, cursor: Column) -> Column:
-        return F.array_max(F.filter(bounds, lambda e: (e > cursor) & (e <= F.least(size, cursor + cap))))
 
-    def step(state: Column, _: Column) -> Column:
-        cursor = state["cursor"]
-        inside = F.filter(marks, lambda e: F.array_contains(ends, e))
-        following = F.array_min(F.filter(ends, lambda e: e > F.least(size, cursor + cap)))
-        end = F.coalesce(last_within(inside, cursor), last_within(ends, cursor), following, size)
-        return F.when(cursor >= size, state).otherwise(F.struct(end.alias("cursor"), F.concat(state["taken"], F.array(end)).alias("taken")))
+def _taken_column(take: Callable[[str], list[int]]) -> Column:
+    def over(texts: pd.Series) -> pd.Series:
+        return pd.Series([take(t) for t in texts], dtype="object")
 
-    start = F.struct(F.lit(0).alias("cursor"), F.array().cast("array<int>").alias("taken"))
-    return F.aggregate(ends, start, step)["taken"]
+    return F.pandas_udf(over, "array<int>")("text")
 
 
 def _chunk_rows(packed: DataFrame) -> DataFrame:
@@ -53,29 +58,31 @@ def _chunk_rows(packed: DataFrame) -> DataFrame:
 
 def sentence_chunks(chapters: DataFrame, cap: int) -> DataFrame:
     """Chunks of at most ``cap`` characters where sentences allow it. ``chapters``: book_id, chapter_index, start_offset, text."""
-    bounded = chapters.where("text <> ''").withColumns({"ends": B.chunk_end_column(F.col("text")), "paragraphs": B.paragraph_end_column(F.col("text"))})
-    return _chunk_rows(bounded.withColumn("taken", _pack(cap)))
+    return _chunk_rows(chapters.where("text <> ''").withColumn("taken", _taken_column(lambda t: _sentence_taken(t, cap))))
 
 
 def _paragraph_taken(text: str, cuts: list[int], cap: int) -> list[int]:
-    spoken = max((i for i in range(len(text) - 1, -1, -1) if text[i].isalnum()), default=-1)
-    taken, cursor = [], 0
-    while cursor < len(text):
-        ahead = [c for c in cuts if c > cursor]
-        end = max((c for c in ahead if c <= cursor + cap), default=ahead[0] if ahead else len(text))
-        cursor = len(text) if end > spoken else end
-        taken.append(cursor)
-    return taken
+    """Chunk ends: a chunk takes in paragraph after paragraph while it stays within the cap.
+
+    What comes after the last letter or digit is never a chunk of its own: the first cut after it, if
+    it is within the cap, stands for the end of the text. Spoken text after the last cut is a chunk.
+    """
+    spoken = len(text) - next((n for n, c in enumerate(reversed(text)) if c.isalnum()), len(text) + 1)
+    inner = [c for c in cuts if c < spoken]
+    close = next((c for c in cuts if c >= spoken), math.inf)
+    taken, begin, last = [], 0, 0
+    for cut in (*inner, close):
+        if cut - begin > cap and last > begin:
+            taken.append(last)
+            begin = last
+        last = cut
+    return [*taken, len(text)]
 
 
 def paragraph_chunks(chapters: DataFrame, cap: int) -> DataFrame:
     """Chunks of whole paragraphs; a cut is only where a pause is heard, and unspoken rests join the last chunk."""
 
-    @F.pandas_udf("array<int>")
-    def taken(texts: pd.Series) -> pd.Series:
-        return pd.Series([_paragraph_taken(t, B.spoken_cuts(t), cap) for t in texts], dtype="object")
-
-    return _chunk_rows(chapters.where("text <> ''").withColumn("taken", taken("text")))
+    return _chunk_rows(chapters.where("text <> ''").withColumn("taken", _taken_column(lambda t: _paragraph_taken(t, B.spoken_cuts(t), cap))))
 
 
 def chapter_chunks(chapters: DataFrame) -> DataFrame:
@@ -123,8 +130,8 @@ def interactive_chunks(spans: DataFrame, cast: DataFrame, cap: int, revision: in
     ``audio_input_hash`` doesn't: audio stays good where only the plan around it has changed. Both are
     digests of JSON objects with keys in order.
     """
-    bounded = spans.where("text <> ''").withColumns({"ends": B.chunk_end_column(F.col("text")), "paragraphs": B.paragraph_end_column(F.col("text"))})
-    rows = bounded.withColumn("taken", _pack(cap)).select("*", F.posexplode("taken").alias("nth", "end"))
+    packed = spans.where("text <> ''").withColumn("taken", _taken_column(lambda t: _sentence_taken(t, cap)))
+    rows = packed.select("*", F.posexplode("taken").alias("nth", "end"))
     rows = rows.withColumn("begin", F.when(F.col("nth") == 0, 0).otherwise(F.get("taken", F.col("nth") - 1)))
     book = Window.partitionBy("book_id").orderBy("chapter_index", "source_start")
     chapter = Window.partitionBy("book_id", "chapter_index").orderBy("source_start")
