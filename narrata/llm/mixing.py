@@ -165,7 +165,10 @@ def mixed_documents(docs: DataFrame, labels: DataFrame, targets: Mapping[str, fl
         return docs
     texts = docs.select(F.col(text_col).alias("text"), tokens(F.col(text_col)).alias("n_tokens"))
     steps = fit_steps(cut(with_membership(texts, model, F.col("text")).select("n_tokens", "posterior")), model, targets)
-    rated = with_membership(docs, model, F.col(text_col), "_mix_posterior").withColumn("_mix_rate", rate(F.col("_mix_posterior"), steps))
+    # Spark would push the filter on copies through all steps of the membership, copying each step's
+    # columns into it; a column that isn't deterministic (adding nothing) keeps the filter above.
+    held = rate(F.col("_mix_posterior"), steps) + F.spark_partition_id() * F.lit(0.0)
+    rated = with_membership(docs, model, F.col(text_col), "_mix_posterior").withColumn("_mix_rate", held)
     timed = rated.withColumn("_mix_times", copies(F.col("_mix_rate"), F.col(id_col)))
     # A row repeats by exploding a list of as many numbers as it has copies.
     return timed.where("_mix_times > 0").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*docs.columns)

@@ -38,7 +38,7 @@ def test_posteriors_equal_brute_force(spark):
     scale = mixing.EVIDENCE / max(len(text), mixing.EVIDENCE)
     logs = [p + scale * sum(n * v for n, v in zip(x, row)) for p, row in zip(model.prior, model.letters)]
     wanted = [math.exp(v) / sum(math.exp(w) for w in logs) for v in logs]
-    got = spark.createDataFrame([(text,)], "text string").select(mixing.posteriors(model, F.col("text")).alias("p")).first()["p"]
+    got = mixing.with_membership(spark.createDataFrame([(text,)], "text string"), model, F.col("text"), "p").first()["p"]
     assert all(abs(g - w) < 1e-9 for g, w in zip(got, wanted))
 
 
