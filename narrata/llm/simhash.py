@@ -131,7 +131,8 @@ def components(edges: DataFrame) -> DataFrame:
     def star(e: DataFrame, large: bool) -> DataFrame:
         # e: u, v. Large: each node sends its larger neighbours to its least one. Small: its smaller ones.
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("m", "u").alias("m"))
+        # Cut, so that the join deals out both sides anew and Spark can split a node with a great many neighbours.
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("m", "u").alias("m")))
         met = both.join(least, both["u"] == least["w"])
         if large:
             return met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
