@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from narrata.llm import decontaminate, mixing, quality, sharding, simhash
+from narrata.llm import decontaminate, mixing, nearcopies, quality, sharding
 from narrata.llm.common import shared_folder, table
 
 #: Shares of all tokens by domain that the mix aims at.
@@ -25,8 +25,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least id stays."""
-    return simhash.near_duplicates_removed(docs)
+    """Of each group of texts with five-word similarity of 0.8 or more one row stays: the least id's, null ids last."""
+    return nearcopies.near_copies_removed(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
