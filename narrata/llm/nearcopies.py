@@ -22,7 +22,7 @@ BANDS, ROWS = 32, 5
 #: Texts of a band value up to which each pair is a candidate at once.
 CROWD = 16
 #: Crowded band values by their remainder: which ones a round takes.
-_ROUNDS = ((0, 1), (1, 4), (4, 16))
+_ROUNDS = ((0, 2), (2, 16))
 #: Shingles that are min-hashed at a time.
 _STEP = 1 << 12
 
@@ -79,7 +79,6 @@ def _sets(texts: pd.Series) -> pd.Series:
 
 def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """Those of the distinct ``pairs (a, b)`` whose sets are similar enough. ``texts``: text, text_hash."""
-    pairs = cut(pairs)
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = asked.join(nodes.select("node", F.col("text_hash").alias("w_hash")), "node")
     found = texts.join(wanted, F.col("text_hash") == F.col("w_hash")).dropDuplicates(["node"])
@@ -104,7 +103,7 @@ def _connected(nodes: DataFrame, texts: DataFrame, crowd: int) -> DataFrame:
     """``(node, root)`` of nodes with a link: the components over all candidates that are similar enough.
 
     Band values of up to ``crowd`` texts give each pair. In a larger one pairs would grow with its
-    square: there each text first meets one head of the band value, in three rounds, and only texts
+    square: there each text first meets one head of the band value, in two rounds, and only texts
     that aren't in one component yet; then whatever lies outside a band value's largest component meets
     all texts of the value in other components, so no candidate that could join two components is left out.
     """
@@ -113,14 +112,18 @@ def _connected(nodes: DataFrame, texts: DataFrame, crowd: int) -> DataFrame:
     shared = cut(members.join(sizes, F.col("band") == F.col("s_band")).select("node", "band", "n"))
     few = shared.where(F.col("n") <= crowd)
     other = few.select(F.col("node").alias("b"), F.col("band").alias("b_band"))
-    links = _verified(few.join(other, F.col("band") == F.col("b_band")).where("node < b").select(F.col("node").alias("a"), "b").distinct(), texts, nodes)
+    pairs = cut(few.join(other, F.col("band") == F.col("b_band")).where("node < b").select(F.col("node").alias("a"), "b").distinct())
+    links = _verified(pairs, texts, nodes)
     roots = components(links)
     many = cut(shared.where(F.col("n") > crowd).select("node", "band"))
     if many.isEmpty():
         return roots
 
     def joined(pairs: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-        links = cut(links.union(_verified(pairs.select(*_ordered(F.col("a"), F.col("b"))).distinct(), texts, nodes)))
+        pairs = cut(pairs.select(*_ordered(F.col("a"), F.col("b"))).distinct())
+        if pairs.isEmpty() or (more := _verified(pairs, texts, nodes)).isEmpty():
+            return links, roots
+        links = links.union(more)
         return links, components(links)
 
     for begin, end in _ROUNDS:
