@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from narrata.llm.common import bounded_broadcast, cut, labelled_sample
+from narrata.llm.common import bounded_broadcast, column, cut, labelled_sample
 
 #: Most labelled texts that the document model is fitted on.
 SAMPLE = 20_000
@@ -125,17 +125,17 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def with_posterior(
+def _posteriors(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", sample: int = SAMPLE
 ) -> DataFrame:
-    """``docs`` with ``_q``: a struct of the document's, host's and path's probability and the posterior.
+    """Per document its row as a struct, and a struct of the document's, host's and path's probability and the posterior.
 
     The evidence on a host or path that a document meets leaves the document itself out. Hosts and
     paths are aggregated before they are shuffled, so a host with a third of all rows is one row a
     task; documents meet the table of paths by a broadcast of checked size, else by a join that Spark
     can split. Null and empty texts have the features of an empty text; null hosts and paths are
     groups of their own; repeated rows count as often as they stand; with no labels all documents have
-    a posterior of one half. Other columns pass through (``_q`` is replaced).
+    a posterior of one half. Columns may have any names.
     """
     model = train(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels, sample=sample)
     named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
@@ -152,22 +152,32 @@ def with_posterior(
     joined = paths.join(of_host, F.col("host") == F.col("h_host"))
     host_mean = (F.col("h_s") + host_weight * mean) / (F.col("h_n") + host_weight)
     path_weight = _weight(joined, "path", host_mean)
-    facts = joined.select(F.col("host").alias("q_host"), F.col("path").alias("q_path"), "n", "s", "h_n", "h_s")
-    scored = docs.drop("_q").withColumns({"_q_p": document_evidence(model, F.col(text_col)), "_q_host": host, "_q_path": path})
-    met = scored.join(bounded_broadcast(facts, BROADCAST_PATHS), (F.col("_q_host") == F.col("q_host")) & (F.col("_q_path") == F.col("q_path")))
-    host_p = (F.col("h_s") - F.col("_q_p") + host_weight * mean) / (F.col("h_n") - 1 + host_weight)
-    path_p = (F.col("s") - F.col("_q_p") + path_weight * host_p) / (F.col("n") - 1 + path_weight)
-    posterior = 1 / (1 + F.exp(-(_logit(F.col("_q_p")) + _logit(path_p) - _logit(F.lit(mean)))))
-    found = F.struct(F.col("_q_p").alias("p_document"), host_p.alias("p_host"), path_p.alias("p_path"), posterior.alias("posterior"))
-    return met.select(*(F.col(c) for c in docs.columns if c != "_q"), found.alias("_q"))
+    facts = joined.select(F.col("host").alias("_q_of_host"), F.col("path").alias("_q_of_path"), F.struct("n", "s", "h_n", "h_s").alias("_q_of"))
+    # A row goes along as one struct, so that its columns may have any names.
+    row = F.struct(*(column(c) for c in docs.columns)).alias("_q_row")
+    scored = docs.select(row, document_evidence(model, F.col(text_col)).alias("_q_p"), host.alias("_q_host"), path.alias("_q_path"))
+    met = scored.join(bounded_broadcast(facts, BROADCAST_PATHS), (F.col("_q_host") == F.col("_q_of_host")) & (F.col("_q_path") == F.col("_q_of_path")))
+    of, own = F.col("_q_of"), F.col("_q_p")
+    host_p = (of["h_s"] - own + host_weight * mean) / (of["h_n"] - 1 + host_weight)
+    path_p = (of["s"] - own + path_weight * host_p) / (of["n"] - 1 + path_weight)
+    posterior = 1 / (1 + F.exp(-(_logit(own) + _logit(path_p) - _logit(F.lit(mean)))))
+    return met.select("_q_row", F.struct(own.alias("p_document"), host_p.alias("p_host"), path_p.alias("p_path"), posterior.alias("posterior")).alias("_q_found"))
+
+
+def with_posterior(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+    """``docs`` with ``_q``, the struct of :func:`_posteriors`; a column of that name is replaced, all others stay."""
+    found = _posteriors(docs, labels, **how)
+    return found.select(*(F.col("_q_row")[c].alias(c) for c in docs.columns if c != "_q"), F.col("_q_found").alias("_q"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """Per document its evidence, what its host and path say, the posterior, and whether it is kept."""
-    found = with_posterior(docs, labels, id_col)
-    return found.select(F.col(id_col).alias("doc_id"), "_q.*", (F.col("_q.posterior") >= threshold).alias("kept"))
+    needed = docs.select(F.col(id_col).alias("doc_id"), "text", "source", "lang")
+    found = with_posterior(needed, labels)
+    return found.select("doc_id", "_q.*", (F.col("_q.posterior") >= threshold).alias("kept"))
 
 
-def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with the rows that :func:`classify` keeps; all columns stay."""
-    return with_posterior(docs, labels).where(F.col("_q.posterior") >= threshold).drop("_q")
+def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **how) -> DataFrame:
+    """``docs`` with the rows whose posterior of being good is at least ``threshold``; all columns stay."""
+    found = _posteriors(docs, labels, **how).where(F.col("_q_found.posterior") >= threshold)
+    return found.select(*(F.col("_q_row")[c].alias(c) for c in docs.columns))

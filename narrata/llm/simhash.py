@@ -169,13 +169,3 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = label.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = label.join(least, "root").select(F.col("fp").alias("of_fp"), "component_id")
     return hashed.join(named, hashed["fp"] == named["of_fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def near_duplicates_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the row of the least id of each component; of rows with the same id one stays.
-
-    Rows with a null id go, and one id with different texts keeps one by chance; ``nearcopies`` keeps both.
-    """
-    found = simhash_components(docs, id_col, text_col)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_narrata_kept")).distinct()
-    return docs.join(kept, F.col(id_col) == F.col("_narrata_kept"), "left_semi").dropDuplicates([id_col])

@@ -58,24 +58,29 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # Strings of added tokens have ids of their own: texts that hold one are encoded whole.
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(map(re.escape, added)), re.I) if added else None
         self.feed = self._single(["\n"])["\n"]
         self.words: dict[str, bytes] = {}  # of words after a blank, which isn't in the key, or with their line feed
         self.parts: dict[str, bytes] = {}  # of pieces as they are
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, with the end id."""
-        words, others, places = [], [], []
-        for t in texts:
-            first, *rest = t.replace("\n", " \n").split(" ") if _plain(t) else (None,)
-            others += _SPLIT.split(t) if first is None else [first]
-            words += rest
+        words, others, places, whole = [], [], [], {}
+        for n, t in enumerate(texts):
+            if self.added and self.added.search(t):
+                whole[n] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                first, *rest = t.replace("\n", " \n").split(" ") if _plain(t) else (None,)
+                others += _SPLIT.split(t) if first is None else [first]
+                words += rest
             places.append((len(others), len(words)))
         words = _looked_up(self.words, words, self._word_ids)
         others = _looked_up(self.parts, others, self._single)
         end, out, a, b = np.array([END_ID], "<u4").tobytes(), [], 0, 0
-        for c, d in places:
-            out.append(np.frombuffer(b"".join((*others[a:c], *words[b:d], end)), "<u4"))
+        for n, (c, d) in enumerate(places):
+            out.append(np.frombuffer(b"".join((whole.get(n, b""), *others[a:c], *words[b:d], end)), "<u4"))
             a, b = c, d
         return out
 
@@ -193,7 +198,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
 
     Documents are dealt out by ranges of ids, so parts follow one another in that order; a task holds
     one segment and one batch. Null texts are empty and still get the end id; null ids come first; rows
-    with equal ids are ordered by text; extra columns are ignored; an empty table gives no segments.
+    with equal ids are ordered by a hash of the text, so that a hot id can be dealt out too; extra columns
+    are ignored; an empty table gives no segments.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -205,7 +211,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _segments(batches, path, arrow)
 
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    by_hash = F.xxhash64("text")
+    ordered = rows.repartitionByRange("doc_id", by_hash).sortWithinPartitions("doc_id", by_hash)
     ordered.mapInArrow(
         encode,
         f"part int, segment int, start_in_part long, n_ids long, doc_ids array<{kind.simpleString()}>, doc_sizes array<long>, plane_sizes array<int>, planes binary",

@@ -1,4 +1,9 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index."""
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+
+All terms of the examples are in the index. A term's weight is its TF-IDF times a relevance factor that
+rises with its link with the label and never is zero, so every text with a known word has its true
+nearest examples. Examples of either label are indexed alike.
+"""
 
 from __future__ import annotations
 
@@ -9,23 +14,26 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narrata.llm.common import labelled_sample
 
-#: Most labelled texts that examples, term choice and calibration use.
-EXAMPLES = 8_000
+#: Most labelled texts that the index and the calibration are fitted on, and their bytes together.
+EXAMPLES, EXAMPLE_BYTES = 6_000, 24 << 20
 #: Of them, one in so many only calibrates the score and is no example.
 CALIBRATE = 4
-#: Most terms of the index, and the least G-squared that a term's link with the label needs.
-TERMS, LEAST_G2 = 1024, 15.0
-#: Examples that vote, examples a block, and the similarity that the prior's vote weighs.
-NEIGHBOURS, BLOCK, PRIOR_WEIGHT = 16, 128, 0.5
+#: A term's relevance: this floor, and a share of the deviations by which its label rate exceeds the mean.
+RELEVANCE_FLOOR, RELEVANCE_SHARE = 0.1, 0.1
+#: Examples that vote, examples a block, blocks that are scored first, and the similarity that the prior's vote weighs.
+NEIGHBOURS, BLOCK, FIRST_BLOCKS, PRIOR_WEIGHT = 16, 64, 8, 0.05
+#: A posting list of more than one in so many examples is long: it lies in blocks, with the greatest weight of each.
+LONG_LIST = 16
 #: Scores from which a text is called toxic.
 THRESHOLD = 0.3
 #: Lengths of the word beginnings that are terms beside whole words.
-STEMS = (4, 5)
+STEMS = (4,)
 #: Distinct words whose terms a worker keeps.
 MEMO = 300_000
 
@@ -46,83 +54,144 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def _term_sets(texts: pd.Series) -> pd.Series:
-    return pd.Series([sorted({t for w in set(words_of(x)) for t in terms_of_word(w)}) for x in texts], dtype="object")
+def _hash(term: str) -> int:
+    return xxhash.xxh64_intdigest(term.encode("utf-8", "replace")) >> 1
+
+
+def _counted(texts: pd.Series) -> pd.DataFrame:
+    """The hashes of each text's terms and their counts, as bytes of 64-bit integers."""
+    rows = []
+    for text in texts:
+        counts = Counter(h for w, n in Counter(words_of(text)).items() for t in terms_of_word(w) for h in [_hash(t)] * n)
+        rows.append((np.fromiter(counts, "<i8", len(counts)).tobytes(), np.fromiter(counts.values(), "<i8", len(counts)).tobytes()))
+    return pd.DataFrame(rows, columns=["terms", "counts"])
+
+
+class Example(NamedTuple):
+    """A labelled example: its id, the hash of its text, hashes of its terms and their counts, and its label."""
+
+    doc_id: object
+    text_hash: int
+    terms: np.ndarray
+    counts: np.ndarray
+    label: float
 
 
 class Index:
-    """Examples by term, with the greatest weight of each term in each block of examples."""
-
-    def __init__(self, terms: list[str], doc_freq: list[int], total: int) -> None:
-        self.terms = {t: n for n, t in enumerate(terms)}
-        self.idf = np.log((1 + total) / (1 + np.array(doc_freq, float))) + 1
-        self.ids: list = []
-        self.labels = np.empty(0)
-        self.blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # postings: terms, places in the block, weights
-        self.block_max = np.empty((0, 0))
-        self.prior = 0.0
+    """Examples by term: postings of each term in each block, with their greatest weight there."""
+
+    def __init__(self, examples: list[Example]) -> None:
+        n = len(examples)
         self.steps: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.ids = [e.doc_id for e in examples]
+        self.labels = np.array([e.label for e in examples], float)
+        self.rank = np.argsort(np.argsort(np.array([e.text_hash for e in examples], np.int64), kind="stable"), kind="stable")
+        self.prior = (self.labels.sum() + 0.1) / (n + 10.0)
+        sizes = [len(e.terms) for e in examples]
+        every = np.concatenate([e.terms for e in examples]) if n else np.empty(0, np.int64)
+        self.terms, at = np.unique(every, return_inverse=True)  # the vocabulary, by hash
+        counts = np.concatenate([e.counts for e in examples]) if n else np.empty(0, np.int64)
+        of = np.repeat(np.arange(n), sizes)
+        df, toxic, rate = np.bincount(at, minlength=len(self.terms)), np.bincount(at, self.labels[of], len(self.terms)), self.labels.mean() if n else 0.0
+        beyond = np.maximum(toxic - df * rate, 0.0) / np.sqrt(df * rate * (1 - rate) + 1)
+        self.idf = (np.log((1 + n) / (1 + df)) + 1) * (RELEVANCE_FLOOR + RELEVANCE_SHARE * beyond)
+        weights = (1 + np.log(counts)) * self.idf[at]
+        weights /= np.maximum(np.sqrt(np.bincount(of, weights**2, n)), 1e-12)[of]
+        self._order(at, of, weights, n)
+
+    def _order(self, at: np.ndarray, of: np.ndarray, weights: np.ndarray, n: int) -> None:
+        """Lay the postings out by term and block; like examples stand in the same block, so that bounds are tight."""
+        heavy = np.zeros(n, np.int64)
+        by_weight = np.lexsort((-at, weights))
+        heavy[of[by_weight]] = at[by_weight]  # the last one written is the heaviest
+        common = np.full(n, -1)
+        often = np.bincount(at, minlength=len(self.terms))[at] * 50 > n
+        by_weight = by_weight[often[by_weight]]
+        common[of[by_weight]] = at[by_weight]
+        place = np.argsort(np.lexsort((self.rank, heavy, common)))
+        back = np.argsort(place)
+        self.ids, self.labels, self.rank = [self.ids[i] for i in back], self.labels[back], self.rank[back]
+        of = place[of]
+        order = np.lexsort((of, at))
+        at, self.of, self.weights = at[order], of[order].astype(np.int32), weights[order]
+        self.lists = np.searchsorted(at, np.arange(len(self.terms) + 1))  # where each term's postings start
+        self.blocks = -(-n // BLOCK)
+        self.long = np.full(len(self.terms), -1, np.int32)
+        many = np.flatnonzero(np.diff(self.lists) * LONG_LIST > n)
+        self.long[many] = np.arange(len(many))
+
+    def unfold(self) -> None:
+        """Lay the long posting lists out in blocks: what a worker does once with the index that it was sent."""
+        many = np.flatnonzero(self.long >= 0)
+        postings = _ranges(self.lists[many], self.lists[many + 1])
+        rows = np.repeat(np.arange(len(many)), self.lists[many + 1] - self.lists[many])
+        of = self.of[postings]
+        self.in_blocks = np.zeros((self.blocks, len(many), BLOCK))
+        self.in_blocks[of // BLOCK, rows, of % BLOCK] = self.weights[postings]
+        self.most = np.ascontiguousarray(self.in_blocks.max(2).T) if len(many) else np.zeros((0, self.blocks))
+
+    def _known(self, word: str) -> tuple[int, ...]:
+        hashes = [_hash(t) for t in terms_of_word(word)]
+        places = np.searchsorted(self.terms, hashes).tolist()
+        return tuple(p for p, h in zip(places, hashes) if p < len(self.terms) and self.terms[p] == h)
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Terms of a text and their weights, of length one."""
-        counts: Counter[int] = Counter()
+        """Terms of a text that are in the index and their weights, of length one."""
+        counts: dict[int, int] = {}
         memo = self.memo
-        for w in words_of(text):
+        for w, n in Counter(words_of(text)).items():
             known = memo.get(w)
             if known is None:
                 if len(memo) >= MEMO:
                     memo.clear()
-                known = memo[w] = tuple(n for t in terms_of_word(w) if (n := self.terms.get(t)) is not None)
-            if known:
-                counts.update(known)
-        at = np.array(sorted(counts), np.int64)
-        weights = (1 + np.log(np.array([counts[n] for n in at.tolist()], float))) * self.idf[at] if len(at) else np.empty(0)
+                known = memo[w] = self._known(w)
+            for t in known:
+                counts[t] = counts.get(t, 0) + n
+        at = np.fromiter(counts, np.int64, len(counts))
+        order = np.argsort(at)
+        at = at[order]
+        weights = (1 + np.log(np.fromiter(counts.values(), float, len(counts))[order])) * self.idf[at]
         return at, weights / max(np.sqrt((weights**2).sum()), 1e-12)
 
-    def add(self, examples: list[tuple[object, np.ndarray, np.ndarray, float]]) -> None:
-        """Take in examples (id, terms, weights, label); ones without a term only count in the prior."""
-        bare = [label for _, at, _, label in examples if not len(at)]
-        self.prior = (sum(bare) + 0.1) / (len(bare) + 10.0)
-        with_terms = [e for e in examples if len(e[1])]
-        self.ids = [e[0] for e in with_terms]
-        self.labels = np.array([e[3] for e in with_terms])
-        self.block_max = np.zeros((len(self.terms), -(-len(with_terms) // BLOCK)))
-        for block in range(self.block_max.shape[1]):
-            held = with_terms[block * BLOCK : (block + 1) * BLOCK]
-            terms, weights = np.concatenate([e[1] for e in held]), np.concatenate([e[2] for e in held])
-            places = np.repeat(np.arange(len(held)), [len(e[1]) for e in held])
-            order = np.argsort(terms, kind="stable")
-            self.blocks.append((terms[order], places[order], weights[order]))
-            np.maximum.at(self.block_max[:, block], terms, weights)
-
     def nearest(self, at: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS) -> list[tuple[float, int]]:
-        """The k examples of greatest cosine, exactly, of equal ones the first.
+        """The k examples of greatest cosine, exactly; of equal ones those whose texts have the least hashes.
 
-        Blocks are taken by what they can reach at most; when the next can't reach the k-th best, none can.
+        Only the query's own posting lists are read: short ones whole, long ones block by block. What a
+        block can reach at most is its best sum over short lists and its maxima in the long ones; blocks
+        are scored from the best on, and when the next can't reach the k-th best, none can.
         """
-        if not len(at) or not len(self.ids):
+        if not len(at):
             return []
-        most = weights @ self.block_max[at]
-        query = np.zeros(len(self.terms))
-        query[at] = weights
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-most, kind="stable").tolist():
-            if most[block] <= 0 or (len(best) >= k and most[block] < -best[-1][0] - 1e-9):
-                break
-            terms, places, held = self.blocks[block]
-            scores = np.round(np.bincount(places, query[terms] * held, BLOCK), 12)
+        if not hasattr(self, "most"):
+            self.unfold()
+        rows = self.long[at]
+        short, rows = rows < 0, rows[rows >= 0]
+        begin, end = self.lists[at[short]], self.lists[at[short] + 1]
+        postings = _ranges(begin, end)
+        sums = np.bincount(self.of[postings], np.repeat(weights[short], end - begin) * self.weights[postings], self.blocks * BLOCK).astype(float).reshape(-1, BLOCK)
+        asked = weights[~short]
+        reach = sums.max(1) + asked @ self.most[rows]
+        order = np.argsort(-reach, kind="stable")
+        order = order[reach[order] > 0]
+        scores = np.zeros_like(sums)
+        done, step, least = 0, FIRST_BLOCKS, 0.0
+        while done < len(order) and (least <= 0 or reach[order[done]] >= least - 1e-9):
+            now = order[done : done + step]
+            scores[now] = sums[now] + asked @ self.in_blocks[now[:, None], rows] if len(rows) else sums[now]
+            done, step = done + step, step * 2
+            best = scores[order[:done]].ravel()
             if len(best) >= k:
-                found = np.flatnonzero(scores >= -best[-1][0])
-            else:
-                found = np.flatnonzero(scores > 0)
-            best = sorted([*best, *zip((-scores[found]).tolist(), (found + block * BLOCK).tolist())])[:k]
-        return [(-s, n) for s, n in best]
+                least = float(np.partition(best, len(best) - k)[len(best) - k])
+        scores = np.round(scores.ravel(), 12)
+        found = np.flatnonzero(scores >= round(least, 12) if least > 0 else scores > 0)
+        found = found[np.lexsort((self.rank[found], -scores[found]))][:k]
+        return list(zip(scores[found].tolist(), found.tolist()))
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """The neighbours' labels weighted by the square of similarity, with the prior as one more voter."""
         weight = sum(s * s for s, _ in near)
-        return (sum(s * s * self.labels[n] for s, n in near) + PRIOR_WEIGHT * self.prior) / (weight + PRIOR_WEIGHT)
+        return float((sum(s * s * self.labels[n] for s, n in near) + PRIOR_WEIGHT * self.prior) / (weight + PRIOR_WEIGHT))
 
     def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
         """Fit a rising step function from votes to label rates (pool adjacent violators), smoothed a little."""
@@ -142,8 +211,16 @@ class Index:
         return float(min(1.0, max(0.0, 0.98 * np.interp(vote, *self.steps) + 0.02 * vote)))
 
 
+def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges [begin, end) one after another."""
+    sizes = end - begin
+    total = int(sizes.sum())
+    return np.arange(total) + np.repeat(begin - np.cumsum(sizes) + sizes, sizes)
+
+
 class Evidence(NamedTuple):
     score: float
+    vote: float
     near_ids: list
     near_similarity: list
     near_toxic: list
@@ -152,38 +229,20 @@ class Evidence(NamedTuple):
 def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
     """The index of labelled examples. ``docs``: doc_id, text of rows that may be learnt from.
 
-    Terms are counted by Spark over the examples; only chosen terms' counts and, of the bounded
-    sample, the chosen terms' weights come to the driver.
+    Of the bounded sample the hashes of terms and their counts come to the driver, where the index is
+    laid out; the examples that calibrate are scored by Spark, and their votes come back.
     """
-    sample = labelled_sample(docs, labels, "toxic", examples).withColumn("calibrates", F.pmod(F.xxhash64("text", F.lit(7)), F.lit(CALIBRATE)) == 0).persist()
+    sample = labelled_sample(docs, labels, "toxic", examples, most_bytes=EXAMPLE_BYTES)
+    sample = sample.withColumn("calibrates", F.pmod(F.xxhash64("text", F.lit(7)), F.lit(CALIBRATE)) == 0).persist()
     try:
-        base = sample.where("not calibrates").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("n1")).first()
-        n, n1 = base["n"], base["n1"] or 0.0
-        sets = sample.where("not calibrates").select(F.explode(F.pandas_udf(_term_sets, "array<string>")("text")).alias("term"), "label")
-        counts = sets.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("label").alias("df1"))
-
-        def part(observed: Column, expected: Column) -> Column:
-            return F.when(observed > 0, observed * F.log(observed / expected)).otherwise(0.0)
-
-        a, b, rate = F.col("df1"), F.col("df") - F.col("df1"), F.lit(n1 / n if n else 0.0)
-        c, d = F.lit(n1) - a, F.lit(float(n) - n1) - b
-        g2 = 2 * (part(a, F.col("df") * rate) + part(b, F.col("df") * (1 - rate)) + part(c, (n - F.col("df")) * rate) + part(d, (n - F.col("df")) * (1 - rate)))
-        chosen = counts.where((a > F.col("df") * rate) & (g2 >= LEAST_G2)).select("term", "df", g2.alias("g2")).orderBy(F.desc("g2"), "term").limit(TERMS).collect() if n else []
-        index = Index([r["term"] for r in chosen], [r["df"] for r in chosen], n)
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        @F.pandas_udf("terms array<long>, weights array<double>")
-        def vectors(texts: pd.Series) -> pd.DataFrame:
-            return pd.DataFrame([tuple(x.tolist() for x in shared.value.vector(t)) for t in texts], columns=["terms", "weights"])
-
-        rows = sample.select("doc_id", "label", "calibrates", vectors("text").alias("v")).orderBy("doc_id").collect()
+        counted = F.pandas_udf(_counted, "terms binary, counts binary")("text")
+        rows = sample.where("not calibrates").select("doc_id", F.xxhash64("text").alias("h"), "label", counted.alias("c")).orderBy("h").collect()
+        index = Index([Example(r["doc_id"], r["h"], np.frombuffer(r["c"]["terms"], "<i8"), np.frombuffer(r["c"]["counts"], "<i8"), r["label"]) for r in rows])
+        checks = sample.where("calibrates").select(_scored(index, sample, "doc_id", "text").alias("s"), "label", F.xxhash64("text").alias("h"))
+        found = checks.select("s.vote", "label", "h").orderBy("h").collect()
     finally:
         sample.unpersist()
-    parsed = [(r["doc_id"], np.array(r["v"]["terms"], np.int64), np.array(r["v"]["weights"]), r["label"], r["calibrates"]) for r in rows]
-    index.add([p[:4] for p in parsed if not p[4]])
-    checks = [p for p in parsed if p[4]]
-    if checks:
-        index.calibrate(np.array([index.vote(index.nearest(p[1], p[2])) for p in checks]), np.array([p[3] for p in checks]))
+    index.calibrate(np.array([r["vote"] for r in found]), np.array([r["label"] for r in found]))
     return index
 
 
@@ -198,32 +257,34 @@ def _score(texts: pd.Series, shared, key: str) -> pd.DataFrame:
     index, rows = _LAST[key], []
     for t in texts:
         near = index.nearest(*index.vector(t))
-        top = near[:3]
-        rows.append(Evidence(index.score(near), [index.ids[n] for _, n in top], [s for s, _ in top], [int(index.labels[n]) for _, n in top]))
+        rows.append(Evidence(index.score(near), index.vote(near), [index.ids[n] for _, n in near], [s for s, _ in near], [int(index.labels[n]) for _, n in near]))
     return pd.DataFrame(rows, columns=Evidence._fields)
 
 
+def _scored(index: Index, docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """A struct of a text's score, vote and nearest examples."""
+    shared, key = docs.sparkSession.sparkContext.broadcast(index), uuid.uuid4().hex
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    @F.pandas_udf(f"score double, vote double, near_ids array<{kind}>, near_similarity array<double>, near_toxic array<int>")
+    def scored(texts: pd.Series) -> pd.DataFrame:
+        return _score(texts, shared, key)
+
+    return scored(F.col(text_col))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", examples: int = EXAMPLES, threshold: float = THRESHOLD) -> DataFrame:
-    """Per document: whether its label is held out, its score, the prediction, and its nearest examples.
+    """Per document: whether its label is held out, its score, the prediction, and as evidence all examples that voted.
 
-    A score is a function of the text alone. The broadcast index is bounded by ``examples`` and TERMS;
-    texts are scored where they lie and never shuffled.
+    A score is a function of the text alone: renaming ids changes none. The broadcast index is bounded
+    by ``examples`` and EXAMPLE_BYTES; texts are scored where they lie and never shuffled.
 
-    Terms are words and word beginnings whose link with the label is beyond chance among the examples.
-    Null and empty texts, and texts without such a term, get the calibrated prior of examples without
-    one. Without labelled rows every score is near zero. Repeated rows give repeated results; extra
-    columns are ignored.
+    Null and empty texts, and texts without a known word, get the calibrated prior. Without labelled
+    rows every score is near zero. Repeated rows give repeated results; extra columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"))
     index = train(rows.where("not held_out"), labels, examples)
-    shared, key = docs.sparkSession.sparkContext.broadcast(index), uuid.uuid4().hex
-    kind = rows.schema["doc_id"].dataType.simpleString()
-
-    @F.pandas_udf(f"score double, near_ids array<{kind}>, near_similarity array<double>, near_toxic array<int>")
-    def scored(texts: pd.Series) -> pd.DataFrame:
-        return _score(texts, shared, key)
-
-    found = rows.select("doc_id", "held_out", scored("text").alias("s"))
+    found = rows.select("doc_id", "held_out", _scored(index, rows, "doc_id", "text").alias("s"))
     return found.select(
         "doc_id", "held_out", "s.score", (F.col("s.score") >= threshold).cast("int").alias("predicted"),
         F.arrays_zip(F.col("s.near_ids").alias("doc_id"), F.col("s.near_similarity").alias("similarity"), F.col("s.near_toxic").alias("toxic")).alias("evidence"),

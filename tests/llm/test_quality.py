@@ -48,3 +48,14 @@ def test_odd_rows_have_defined_results(spark):
     assert all(r["posterior"] == 0.5 and r["kept"] for r in quality.classify(docs, labels(spark)).collect())
     assert quality.good_documents(docs, labels(spark)).columns == docs.columns
     assert quality.classify(no_docs(spark), labels(spark)).count() == 0
+
+
+def test_columns_with_inner_names_pass_through(spark):
+    from pyspark.sql import functions as F
+
+    names = ["n", "s", "h_n", "h_s", "q_host", "q_path", "_q", "_q_p", "_q_host", "_q_row", "_q_of", "host", "path", "a b.c"]
+    docs = odd_docs(spark).drop("host").withColumns({c: F.lit(f"own {c}") for c in names})
+    got = quality.good_documents(docs, labels(spark, [(4, 0, 0, ""), (10, 1, 0, "")]), threshold=0.0)
+    assert got.columns == docs.columns and got.count() == 15
+    assert all(r[c] == f"own {c}" for r in got.collect() for c in names)
+    assert quality.classify(docs, labels(spark)).count() == 15

@@ -2,7 +2,7 @@ import random
 
 from narrata.llm import simhash
 from narrata.llm.common import table
-from tests.llm.helpers import FOLDER, documents, near_copies, no_docs, odd_docs, plain
+from tests.llm.helpers import FOLDER, documents, no_docs, odd_docs, plain
 
 
 def brute(prints):
@@ -73,13 +73,3 @@ def test_odd_rows_have_defined_results(spark):
     zero = [r for r in got.collect() if r["fingerprint"] == "0" * 16]
     assert {r["doc_id"] for r in zero} == {0, 1, 2, 3, None} and {r["component_id"] for r in zero} == {0}
     assert simhash.simhash_components(no_docs(spark)).count() == 0
-
-
-def test_one_document_of_each_group_stays(spark):
-    docs = odd_docs(spark, near_copies(8))
-    kept = simhash.near_duplicates_removed(docs)
-    ids = [r["doc_id"] for r in kept.collect()]
-    assert len(ids) == len(set(ids)) and kept.columns == docs.columns
-    components = {r["component_id"] for r in simhash.simhash_components(docs).collect()}
-    assert set(ids) == components - {None}
-    assert table(spark, FOLDER, "documents").columns == simhash.near_duplicates_removed(documents(spark)).columns

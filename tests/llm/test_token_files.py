@@ -10,7 +10,6 @@ from tests.llm.helpers import documents, no_docs, odd_docs
 
 def library():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text, add_special_tokens=False).ids, 2]
 
 
@@ -32,6 +31,8 @@ def test_pieces_join_to_what_the_library_gives():
     for _ in range(3000):
         text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 14)))
         assert own.encode([text])[0].tolist() == encode(text), repr(text)
+    for text in ("hello <|endoftext|> x", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n b", "<|ENDOFTEXT|> a"):
+        assert own.encode(["before", text, "after"])[1].tolist() == encode(text)
 
 
 def test_planes_and_chunk_index(monkeypatch):

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from narrata.llm import toxicity
-from tests.llm.helpers import labels, no_docs, odd_docs
+from tests.llm.helpers import documents, labels, no_docs, odd_docs
 
 
 def corpus(n=400, seed=11):
@@ -43,24 +43,58 @@ def test_scores_depend_on_the_text_alone(spark):
     assert all(a[i] == pytest.approx(a[1000 + i]) for i, _ in rows)
 
 
-def test_index_search_is_exact():
-    rng = np.random.default_rng(3)
-    index = toxicity.Index([f"t{i}" for i in range(30)], [5] * 30, 100)
-    examples = []
-    for n in range(700):
-        at = np.sort(rng.choice(30, rng.integers(0, 6), replace=False))
-        w = rng.random(len(at))
-        examples.append((n, at, w / max(np.sqrt((w**2).sum()), 1e-12), float(n % 2)))
-    index.add(examples)
-    kept = [e for e in examples if len(e[1])]
-    for _ in range(50):
-        at = np.sort(rng.choice(30, 4, replace=False))
-        q = rng.random(4)
-        full = np.zeros(30)
-        full[at] = q / np.sqrt((q**2).sum())
-        exact = sorted(((-round(float(full[e[1]] @ e[2]), 12), n) for n, e in enumerate(kept) if full[e[1]] @ e[2] > 0))[:16]
-        got = index.nearest(at, full[at])
-        assert np.allclose([s for s, _ in got], [-s for s, _ in exact])
+def exact(texts, k=16):
+    """For each text its k nearest of all, by cosine over whole vectors without any index."""
+    import xxhash
+
+    index = built(texts)
+    full = np.zeros((len(texts), len(index.terms)))
+    for n, t in enumerate(texts):
+        at, w = index.vector(t)
+        full[n, at] = w
+    rank = np.argsort(np.argsort([xxhash.xxh64_intdigest(t.encode()) >> 1 for t in texts]))
+    scores = np.round(full @ full.T, 10)
+    return index, [[(scores[i, j], j) for j in np.lexsort((rank, -scores[i]))[:k] if scores[i, j] > 0] for i in range(len(texts))]
+
+
+def built(texts, marks=None):
+    import xxhash
+
+    counted = toxicity._counted(texts)
+    return toxicity.Index([
+        toxicity.Example(n, xxhash.xxh64_intdigest(t.encode()) >> 1, np.frombuffer(a, "<i8"), np.frombuffer(b, "<i8"), float(marks[n] if marks else n % 3 == 0))
+        for n, (t, a, b) in enumerate(zip(texts, counted["terms"], counted["counts"]))
+    ])
+
+
+def test_search_over_whole_documents_is_exact(spark):
+    texts = sorted({r["text"] for r in documents(spark).collect()})
+    texts += [" ".join(t.split()[:5]) for t in texts[:40]]
+    index, wanted = exact(texts)
+    for t, near in zip(texts, wanted):
+        got = index.nearest(*index.vector(t))
+        assert np.allclose([s for s, _ in got], [s for s, _ in near], atol=1e-9)
+        clear = near[-1][0] + 1e-8  # at the last place many may tie
+        assert {index.ids[n] for s, n in got if s > clear} == {n for s, n in near if s > clear}
+
+
+def test_every_text_with_a_known_word_has_neighbours(spark):
+    index = built(["alpha beta", "gamma delta", "alpha"] * 40)
+    assert [index.ids[n] % 3 for _, n in index.nearest(*index.vector("gamma"))] == [1] * 16
+    assert index.nearest(*index.vector("unknown")) == [] and index.nearest(*index.vector(None)) == []
+
+
+def test_renaming_ids_changes_no_score(spark):
+    rows, marks = corpus(240)
+    rows += [(1000 + i, t) for i, t in rows[:40]]
+    learnt = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    moved = dict(zip(learnt, learnt[::-1]))
+    first = toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels(spark, marks)).collect()
+    renamed = spark.createDataFrame([(moved.get(i, i), t) for i, t in rows], "doc_id long, text string")
+    second = toxicity.toxicity(renamed, labels(spark, [(moved.get(m[0], m[0]), *m[1:]) for m in marks])).collect()
+    back = {r["doc_id"]: r["score"] for r in second}
+    assert all(r["score"] == back[moved.get(r["doc_id"], r["doc_id"])] for r in first)
+    assert all(len(r["evidence"]) == toxicity.NEIGHBOURS for r in first)
 
 
 def test_odd_rows_have_defined_results(spark):
