@@ -1,34 +1,33 @@
 """Benchmark decontamination by winnowing.
 
 Documents and benchmark items are winnowed with k-grams of K words and windows of GUARANTEE - K + 1
-k-grams, so each shared span of GUARANTEE words has a fingerprint in common. Equal fingerprints are
-joined and each match is extended word by word in both directions.
+k-grams, so each shared span of GUARANTEE words has a fingerprint in common. Spark joins equal
+fingerprints; of the documents and items that meet, hits are extended to all words they share.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from narrata.llm.common import cut
+from narrata.llm.common import bounded_broadcast, column, cut, lower_ascii
 
 #: Words that a shared span needs to count.
 GUARANTEE = 10
 #: Words of a k-gram; any window of GUARANTEE words holds GUARANTEE - K + 1 k-grams.
 K = 5
-#: UTF-8 bytes of benchmark text that one broadcast may hold; a larger benchmark is joined block by block.
-BLOCK_BYTES = 16 << 20
+#: Rows of a table of fingerprints or hashes that may be broadcast (16 to 100 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 #: Distinct words whose hashes a worker keeps.
 MEMO = 400_000
 
 #: Bytes that aren't in words become blanks, A-Z become a-z.
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+#: The same words as a pattern, over text with A-Z lowered.
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -76,166 +75,139 @@ def winnow(grams: np.ndarray, window: int) -> np.ndarray:
     return np.flatnonzero(chosen)
 
 
-class _Block:
-    """Fingerprints of a bounded block of benchmark items, sorted for lookup."""
-
-    def __init__(self, items: list[tuple[str, str]]) -> None:
-        self.items = [(str(i), w) for i, t in items if (w := words_of(t))]
-        self.hashes = [np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words)) for _, words in self.items]
-        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        by: dict[int, list[tuple[np.ndarray, np.ndarray, int]]] = {}
-        for n, h in enumerate(self.hashes):
-            k = K if len(h) >= GUARANTEE else len(h)  # a shorter item is one gram of all its words
-            grams = _grams(h, k)
-            at = winnow(grams, GUARANTEE - K + 1) if k == K and len(h) >= GUARANTEE else np.arange(1)
-            by.setdefault(k if len(h) >= GUARANTEE else -k, []).append((grams[at], at, n))
-        for k, rows in by.items():
-            prints = np.concatenate([r[0] for r in rows])
-            at = np.concatenate([r[1] for r in rows])
-            of = np.concatenate([np.full(len(r[0]), r[2]) for r in rows])
-            order = np.argsort(prints, kind="stable")
-            self.tables[k] = prints[order], at[order], of[order]
-
-    def hits(self, words: list[bytes], hashes: np.ndarray) -> tuple[list[tuple[int, int]], set[str]]:
-        """Spans of document words inside shared windows, and the items that have one."""
-        spans: set[tuple[int, int]] = set()
-        found: set[str] = set()
-        for k, (prints, at, of) in self.tables.items():
-            grams = _grams(hashes, abs(k))
-            places = winnow(grams, GUARANTEE - K + 1) if k > 0 else np.arange(len(grams))
-            mine = grams[places]
-            low = np.searchsorted(prints, mine, "left")
-            high = np.searchsorted(prints, mine, "right")
-            done: dict[tuple[int, int], int] = {}  # of an item and an alignment: where its last run ended
-            for j in np.flatnonzero(high > low):
-                p = int(places[j])
-                for m in range(low[j], high[j]):
-                    n, shift = int(of[m]), p - int(at[m])
-                    if done.get((n, shift), -1) > p:
-                        continue
-                    item = self.items[n][1]
-                    start, end = self._run(words, item, p, int(at[m]), abs(k))
-                    done[n, shift] = end
-                    if end - start >= (GUARANTEE if k > 0 else len(item)):
-                        spans.add((start, end))
-                        found.add(self.items[n][0])
-        return list(spans), found
-
-    @staticmethod
-    def _run(words: list[bytes], item: list[bytes], p: int, q: int, k: int) -> tuple[int, int]:
-        """The longest run of equal words on this alignment; empty if the grams only share a hash."""
-        if words[p : p + k] != item[q : q + k]:
-            return p, p
-        start, end = p, p + k
-        while start and q and words[start - 1] == item[q - 1]:
-            start, q = start - 1, q - 1
-        at = end - start + q
-        while end < len(words) and at < len(item) and words[end] == item[at]:
-            end, at = end + 1, at + 1
-        return start, end
-
-
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    """Items in blocks of at most ``block_bytes`` of text (a longer item is a block alone).
-
-    Rows come to the driver partition by partition and only one block is held at a time.
+def prints_of(words: list[bytes], lengths: tuple[int, ...] = ()) -> np.ndarray:
+    """The distinct fingerprints of a text: winnowed k-grams, and all grams of each of ``lengths`` words, which short items have."""
+    hashes = np.fromiter(map(_HASH.__getitem__, words), np.uint64, len(words))
+    found = []
+    if len(words) >= GUARANTEE:
+        grams = _grams(hashes, K)
+        found.append(grams[winnow(grams, GUARANTEE - K + 1)])
+    found += [_grams(hashes, n) ^ np.uint64(n) * _BASE for n in lengths]
+    return np.unique(np.concatenate(found)).view(np.int64) if found else np.empty(0, np.int64)
+
+
+def spans_of(text: str | None, item: str | None) -> list[tuple[int, int]]:
+    """Spans [start, end) of words of a text inside windows of an item, in order and apart; compared word by word.
+
+    The time is linear in both texts, however often words or windows repeat.
     """
-    rows = benchmark.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull())
-    block, size = [], 0
-    for item, text in rows.select(F.col(item_col).cast("string"), F.col(text_col)).distinct().toLocalIterator():
-        if block and size + len(text) * 4 > block_bytes:
-            yield block
-            block, size = [], 0
-        block.append((item, text))
-        size += len(text) * 4
-    yield block
+    words, held = words_of(text), words_of(item)
+    k = min(GUARANTEE, len(held))
+    if not k:
+        return []
+    windows = set(zip(*(held[j:] for j in range(k))))
+    spans: list[tuple[int, int]] = []
+    for p, window in enumerate(zip(*(words[j:] for j in range(k)))):
+        if window in windows:
+            if spans and p <= spans[-1][1]:
+                spans[-1] = (spans[-1][0], p + k)
+            else:
+                spans.append((p, p + k))
+    return spans
+
+
+def _prints(lengths: tuple[int, ...], text: Column) -> Column:
+    @F.pandas_udf("array<long>")
+    def prints(texts: pd.Series) -> pd.Series:
+        return pd.Series([prints_of(words_of(t), lengths) for t in texts], dtype="object")
 
+    return prints(text)
 
-#: The block that this worker looked things up in last.
-_LAST: dict[str, _Block] = {}
 
+def _item_prints(texts: pd.Series) -> pd.Series:
+    found = [words_of(t) for t in texts]
+    return pd.Series([prints_of(w) if len(w) >= GUARANTEE else prints_of(w, (len(w),) if w else ()) for w in found], dtype="object")
 
-def _look(texts: pd.Series, shared, key: str) -> pd.DataFrame:
-    if key not in _LAST:
-        _LAST.clear()
-        _LAST[key] = _Block(shared.value)
-    rows = []
-    for text in texts:
-        words = words_of(text)
-        spans, items = _LAST[key].hits(words, np.fromiter(map(_HASH.__getitem__, words), np.uint64, len(words)))
-        rows.append((len(words), [a for a, _ in spans], [b for _, b in spans], sorted(items)))
-    return pd.DataFrame(rows, columns=["n_words", "starts", "ends", "items"])
 
+def _spans(texts: pd.Series, items: pd.Series) -> pd.Series:
+    return pd.Series([[{"start": a, "end": b} for a, b in spans_of(t, i)] for t, i in zip(texts, items)], dtype="object")
 
-def _hit_column(shared, key: str, text: Column) -> Column:
-    """Struct of ``n_words``, ``starts``, ``ends`` and ``items`` against one broadcast block."""
 
-    @F.pandas_udf("n_words long, starts array<long>, ends array<long>, items array<string>")
-    def look(texts: pd.Series) -> pd.DataFrame:
-        return _look(texts, shared, key)
+def _key(text: Column, prefix: str) -> list[Column]:
+    """What names a text in joins: its hash and its size."""
+    return [F.xxhash64(text).alias(f"{prefix}_hash"), F.octet_length(text).alias(f"{prefix}_size")]
 
-    return look(text)
+
+def _n_words(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(lower_ascii(text), F.lit(_WORD)), F.lit(0)).cast("long")
+
+
+def hits_by_text(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``(d_hash, d_size, spans, items)`` of each distinct text of ``docs`` that holds a window of an item.
+
+    Texts are winnowed where they lie, and their fingerprints joined with those of the items: against
+    a broadcast of checked size, else by a shuffle that Spark can split where a fingerprint is in a
+    great many documents. Only texts that share a fingerprint are read again, to extend the hits.
+    """
+    items = benchmark.select(column(item_col).cast("string").alias("item"), column(item_text_col).alias("item_text")).where("item is not null and item_text is not null").distinct()
+    items = items.select("item", "item_text", *_key(F.col("item_text"), "i"), _n_words(F.col("item_text")).alias("n")).where("n > 0")
+    lengths = tuple(sorted(r["n"] for r in items.where(F.col("n") < GUARANTEE).select("n").distinct().collect()))  # nine at most
+    of_items = items.select("i_hash", "i_size", F.explode(F.pandas_udf(_item_prints, "array<long>")("item_text")).alias("i_print")).distinct()
+    text = column(text_col)
+    rows = docs.where(text.isNotNull()).select(*_key(text, "d"), text.alias("text"))
+    of_docs = rows.select("d_hash", "d_size", F.explode(_prints(lengths, F.col("text"))).alias("print"))
+    met = of_docs.join(bounded_broadcast(of_items, broadcast_rows), F.col("print") == F.col("i_print"))
+    pairs = cut(met.select("d_hash", "d_size", "i_hash", "i_size").distinct())
+    wanted = bounded_broadcast(pairs.select("d_hash", "d_size").distinct(), broadcast_rows)
+    texts = rows.join(wanted, ["d_hash", "d_size"]).dropDuplicates(["d_hash", "d_size"])
+    each = pairs.join(texts, ["d_hash", "d_size"]).join(items, ["i_hash", "i_size"])
+    found = each.select("d_hash", "d_size", "item", F.pandas_udf(_spans, "array<struct<start:long,end:long>>")("text", "item_text").alias("spans"))
+    found = found.where(F.size("spans") > 0).groupBy("d_hash", "d_size")
+    return found.agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
+
+
+def _same(text: Column) -> Column:
+    return (F.xxhash64(text) == F.col("d_hash")) & (F.octet_length(text) == F.col("d_size"))
 
 
 def with_benchmark_hits(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    text_col: str = "text",
-    item_col: str = "item_id",
-    item_text_col: str = "text",
-    block_bytes: int = BLOCK_BYTES,
-    hit_col: str = "benchmark_hit",
-) -> DataFrame:
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    broadcast_rows: int = BROADCAST_ROWS, hit_col: str = "benchmark_hit",
+) -> DataFrame:
     """``docs`` with a struct ``hit_col``: ``n_words``, the hit word ``spans`` [start, end), ``items`` that occur.
 
-    A window is GUARANTEE consecutive words of an item, or all words of a shorter item. Documents are
-    read once and aren't shuffled: the benchmark is broadcast in blocks of ``block_bytes``. A benchmark
-    of more blocks takes one pass for each, with the lineage cut between passes, so no worker holds
-    more than a block.
+    A window is GUARANTEE consecutive words of an item, or all words of a shorter item.
 
     Null or empty texts have no words and no hits; items without words never hit; equal item ids with
     different texts count as one item; an item with a null id or text is left out. Repeated documents
     give repeated rows. Other columns of ``docs`` pass through; a column named ``hit_col`` is replaced.
     """
-    context = docs.sparkSession.sparkContext
-    out = docs
-    for n, items in enumerate(_blocks(benchmark, item_col, item_text_col, block_bytes)):
-        hit = _hit_column(context.broadcast(items), uuid.uuid4().hex, F.col(text_col))
-        if n:
-            out = cut(out)
-            old = F.col(hit_col)
-            out = out.withColumn("_narrata_hit", hit).withColumn(hit_col, F.struct(
-                old["n_words"].alias("n_words"),
-                *(F.concat(old[c], F.col("_narrata_hit")[c]).alias(c) for c in ("starts", "ends")),
-                F.array_union(old["items"], F.col("_narrata_hit")["items"]).alias("items"),
-            )).drop("_narrata_hit")
-        else:
-            out = out.withColumn(hit_col, hit)
-    hit = F.col(hit_col)
-    spans = F.array_sort(F.arrays_zip(hit["starts"].alias("start"), hit["ends"].alias("end")))
-    return out.withColumn(hit_col, F.struct(hit["n_words"].alias("n_words"), spans.alias("spans"), F.array_sort(hit["items"]).alias("items")))
+    hits = hits_by_text(docs, benchmark, text_col, item_col, item_text_col, broadcast_rows)
+    others = [c for c in docs.columns if c != hit_col]
+    rows = docs.select(F.struct(*map(column, others)).alias("row"))
+    text = F.col("row")[text_col]
+    spans, found = F.coalesce("spans", F.array().cast("array<struct<start:long,end:long>>")), F.coalesce("items", F.array().cast("array<string>"))
+    hit = F.struct(_n_words(text).alias("n_words"), spans.alias("spans"), found.alias("items"))
+    return rows.join(hits, _same(text), "left").select(*(F.col("row")[c].alias(c) for c in others), hit.alias(hit_col))
 
 
 def hit_digest(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: its words, hit words, items that occur and a digest of their ids."""
-    hits = with_benchmark_hits(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), benchmark)
-    hit = F.col("benchmark_hit")
+    zero = F.lit(0).cast("long")
     # Spans are sorted by start, so a running end gives the size of their union.
     union = F.aggregate(
-        hit["spans"],
-        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")),
+        "spans",
+        F.struct(zero.alias("n"), zero.alias("end")),
         lambda acc, x: F.struct(
-            (acc["n"] + F.greatest(F.lit(0).cast("long"), x["end"] - F.greatest(x["start"], acc["end"]))).alias("n"),
+            (acc["n"] + F.greatest(zero, x["end"] - F.greatest(x["start"], acc["end"]))).alias("n"),
             F.greatest(acc["end"], x["end"]).alias("end"),
         ),
     )
-    return hits.select(
-        "doc_id", hit["n_words"].alias("n_words"), union["n"].alias("n_hit"), F.size(hit["items"]).cast("long").alias("n_items"),
-        F.sha2(F.array_join(hit["items"], ","), 256).alias("items_sha256"), (F.size(hit["spans"]) > 0).alias("contaminated"),
+    hits = hits_by_text(docs, benchmark, text_col).select(
+        "d_hash", "d_size", union["n"].alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    )
+    text = column(text_col)
+    rows = docs.select(column(id_col).alias("doc_id"), _n_words(text).alias("n_words"), F.xxhash64(text).alias("t_hash"), F.octet_length(text).alias("t_size"))
+    met = rows.join(bounded_broadcast(cut(hits), BROADCAST_ROWS), (F.col("t_hash") == F.col("d_hash")) & (F.col("t_size") == F.col("d_size")), "left")
+    return met.select(
+        "doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.coalesce("n_hit", zero) > 0).alias("contaminated"),
     )
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without those that hold a benchmark window; all columns stay and nothing is shuffled."""
-    hits = with_benchmark_hits(docs, benchmark, hit_col="_narrata_benchmark_hit")
-    return hits.where(F.size(F.col("_narrata_benchmark_hit")["items"]) == 0).drop("_narrata_benchmark_hit")
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` without those that hold a benchmark window; all columns stay, and texts aren't shuffled while few distinct ones hit."""
+    hits = cut(hits_by_text(docs, benchmark, text_col).select("d_hash", "d_size"))
+    rows = docs.select(F.struct(*map(column, docs.columns)).alias("row"))
+    kept = rows.join(bounded_broadcast(hits, BROADCAST_ROWS), _same(F.col("row")[text_col]), "left_anti")
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))

@@ -11,10 +11,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from narrata.llm.common import cut
+from narrata.llm.common import column, cut
 
-#: A line is removed from a host's documents if more distinct documents hold it than both of these.
-LINE_FLOOR, LINE_SHARE = 10, 0.05
+#: A line is removed from a host's documents if more distinct documents of the host hold it than this, however large the host.
+LINE_LIMIT = 10
 #: A document is depleted with fewer words left than this, or a smaller share of its words.
 WORDS_LEFT, SHARE_LEFT = 10, 0.2
 #: Base rules: least words, and the most percent of words that may lie in repeated windows.
@@ -52,6 +52,11 @@ def normal_line(line: str) -> bytes:
     return _DIGITS.sub(b"0", b" ".join(line.encode("utf-8", "replace").lower().split()))
 
 
+def _numbered(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number for each pair, equal for equal pairs alone."""
+    return np.unique(a * (int(b.max()) + 1) + b, return_inverse=True)[1]
+
+
 def repeated_words(words: list[bytes]) -> int:
     """How many words lie in a window of five that the text has at least twice."""
     n = len(words) - REPEAT_WINDOW + 1
@@ -64,8 +69,13 @@ def repeated_words(words: list[bytes]) -> int:
     grams = np.zeros(n, np.uint64)
     for j in range(REPEAT_WINDOW):
         grams = grams * np.uint64(0xBF58476D1CE4E5B9) + at[j : j + n]
-    _, which, counts = np.unique(grams, return_inverse=True, return_counts=True)
-    again = counts[which] > 1
+    if len(np.unique(grams)) == n:  # equal windows have equal hashes, so no window is there twice
+        return 0
+    # Windows by exact number: of pairs of words, of pairs of pairs, and with the fifth word.
+    number = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+    pairs = _numbered(number[:-1], number[1:])
+    which = _numbered(_numbered(pairs[:-2], pairs[2:])[:n], number[REPEAT_WINDOW - 1 :])
+    again = np.bincount(which)[which] > 1
     inside = np.zeros(len(words), bool)
     for j in range(REPEAT_WINDOW):
         inside[j : j + n] |= again
@@ -97,28 +107,48 @@ def _facts(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([facts_of(t) for t in texts], columns=Facts._fields)
 
 
-def _common_lines(lines: DataFrame, floor: int, share: float) -> DataFrame:
-    """``(host, line)`` of lines above the limit. ``lines``: one row a host, distinct text and line."""
-    many = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("in_texts")).where(F.col("in_texts") > floor)
-    texts = lines.select("host", "text_hash").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("texts"))
-    met = many.join(texts.withColumnRenamed("host", "of_host"), F.col("host") == F.col("of_host"))
-    return met.where(F.col("in_texts") > F.lit(share) * F.col("texts")).select(F.col("host").alias("common_host"), F.col("line").alias("common_line"))
+def _without(lines: pd.Series, gone: pd.Series) -> pd.Series:
+    out = []
+    for text, hashes in zip(lines, gone):
+        hashes = set(hashes) if hashes is not None else ()
+        out.append("\n".join(x for x in text.split("\n") if not x.split() or _signed(normal_line(x)) not in hashes) if hashes else text)
+    return pd.Series(out, dtype="object")
 
 
-def line_rules(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    host_col: str = "source",
-    line_floor: int = LINE_FLOOR,
-    line_share: float = LINE_SHARE,
-) -> DataFrame:
+def _rows(docs: DataFrame, others: list[Column], text_col: str, host_col: str) -> DataFrame:
+    """Per row ``others``, its host and its facts."""
+    host = F.coalesce(F.concat(F.lit("="), column(host_col).cast("string")), F.lit(""))
+    return cut(docs.select(*others, host.alias("host"), F.pandas_udf(_facts, _FACTS)(column(text_col)).alias("f")).select("*", "f.*").drop("f"))
+
+
+def _removed(rows: DataFrame, limit: int) -> DataFrame:
+    """By host and text: the words of its common lines, and those lines' hashes."""
+    held = rows.select("host", F.explode("line_hashes").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents"))
+    common = held.where(F.col("documents") > limit).select(F.col("host").alias("common_host"), F.col("line").alias("common_line"))
+    pairs = F.explode(F.arrays_zip(F.col("line_hashes").alias("line"), F.col("line_words").alias("words")))
+    lines = rows.select("host", "text_hash", pairs.alias("x")).select("host", "text_hash", "x.line", "x.words").distinct()
+    met = lines.join(common, (F.col("host") == F.col("common_host")) & (F.col("line") == F.col("common_line")))
+    found = met.groupBy("host", "text_hash").agg(F.sum("words").alias("removed"), F.collect_list("line").alias("gone"))
+    return found.select(F.col("host").alias("r_host"), F.col("text_hash").alias("r_hash"), "removed", "gone")
+
+
+def _judged(rows: DataFrame, limit: int) -> DataFrame:
+    """``rows`` with ``base_failed``, ``n_removed_words``, ``gone`` (hashes of common lines) and ``kept``."""
+    removed = _removed(rows, limit)
+    failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEAT_PERCENT)
+    left = F.col("n_words") - F.col("n_removed_words")
+    depleted: Column = (left < WORDS_LEFT) | (left < F.col("n_words") * SHARE_LEFT)
+    met = rows.join(removed, (F.col("host") == F.col("r_host")) & (F.col("text_hash") == F.col("r_hash")), "left")
+    met = met.withColumns({"base_failed": failed, "n_removed_words": F.coalesce("removed", F.lit(0).cast("long"))})
+    return met.withColumn("kept", ~F.col("base_failed") & ~depleted)
+
+
+def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_limit: int = LINE_LIMIT) -> DataFrame:
     """Per document its counts, whether it fails the base rules, the words of common lines, and the verdict.
 
-    A normalised line is common in a host if more than ``line_floor`` of the host's distinct texts, and
-    more than ``line_share`` of them, hold it. Copies of a text count once, so a text isn't its own
-    evidence. Words of common lines are removed; a document with fewer than WORDS_LEFT words or less
-    than SHARE_LEFT of its words left is depleted and rejected.
+    A normalised line is common in a host if more than ``line_limit`` of the host's documents hold it;
+    each row is a document, copies of a text too. Words of common lines are removed; a document with
+    fewer than WORDS_LEFT words or less than SHARE_LEFT of its words left is depleted and rejected.
 
     Hot lines, hosts and copies: lines are counted with pre-aggregation, words removed are worked out
     once a distinct text of a host, and both joins are plain equi-joins that Spark can split.
@@ -126,24 +156,13 @@ def line_rules(
     Null and empty texts have zero counts and fail the base rules; null hosts are one host of their
     own; repeated rows give repeated results; extra columns are ignored.
     """
-    host = F.concat(F.lit("="), F.col(host_col).cast("string"))
-    facts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(host, F.lit("")).alias("host"), F.pandas_udf(_facts, _FACTS)(F.col(text_col)).alias("facts"))
-    rows = cut(facts.select("doc_id", "host", "facts.*"))
-    pairs = F.explode(F.arrays_zip(F.col("line_hashes").alias("line"), F.col("line_words").alias("words")))
-    lines = rows.select("host", "text_hash", pairs.alias("x")).select("host", "text_hash", "x.line", "x.words").distinct()
-    common = _common_lines(lines, line_floor, line_share)
-    removed = (
-        lines.join(common, (F.col("host") == F.col("common_host")) & (F.col("line") == F.col("common_line")))
-        .groupBy("host", "text_hash")
-        .agg(F.sum("words").alias("removed"))
-        .select(F.col("host").alias("r_host"), F.col("text_hash").alias("r_hash"), "removed")
-    )
-    failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEAT_PERCENT)
-    gone = F.coalesce("removed", F.lit(0).cast("long"))
-    left = F.col("n_words") - F.col("n_removed_words")
-    depleted: Column = (left < WORDS_LEFT) | (left < F.col("n_words") * SHARE_LEFT)
-    return (
-        rows.join(removed, (F.col("host") == F.col("r_host")) & (F.col("text_hash") == F.col("r_hash")), "left")
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), gone.alias("n_removed_words"))
-        .select("*", (~F.col("base_failed") & ~depleted).alias("kept"))
-    )
+    found = _judged(_rows(docs, [column(id_col).alias("doc_id")], text_col, host_col), line_limit)
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "kept")
+
+
+def cleaned_documents(docs: DataFrame, text_col: str = "text", host_col: str = "source", line_limit: int = LINE_LIMIT) -> DataFrame:
+    """``docs`` without common lines in their texts and without the documents that :func:`line_rules` rejects; all columns stay."""
+    rows = _rows(docs, [F.struct(*map(column, docs.columns)).alias("row")], text_col, host_col)
+    kept = _judged(rows, line_limit).where("kept")
+    cleaned = F.pandas_udf(_without, "string")(F.col("row")[text_col], F.col("gone"))
+    return kept.select(*(cleaned.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))

@@ -42,16 +42,14 @@ with d as (
 ), dup as (
   select doc_id, count(*) - count(distinct line) as n_dup_lines from worded group by doc_id
 ), normal as (
-  select host, text, len(lw) as words,
-    regexp_replace(array_to_string(regexp_extract_all(translate(line, '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+'), ' '), '[0-9]+', '0', 'g') as line
-  from (select distinct host, text, nth, line, lw from worded)
-), limits as (
-  select host, count(distinct text) as texts from normal group by host
+  select host, len(lw) as words,
+    regexp_replace(array_to_string(regexp_extract_all(translate(line, '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+'), ' '), '[0-9]+', '0', 'g') as line,
+    doc_id
+  from worded
 ), common as (
-  select n.host, n.line from (select host, line, count(distinct text) as c from normal group by host, line) n join limits l on n.host = l.host
-  where c > 10 and c > 0.05 * texts
+  select host, line from normal group by host, line having count(distinct doc_id) > 10
 ), removed as (
-  select host, text, sum(words) as gone from normal semi join common using (host, line) group by host, text
+  select doc_id, sum(words) as gone from normal semi join common using (host, line) group by doc_id
 ), grams as (
   select doc_id, p, array_to_string(w[p : p + 4], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 3)) as p from d where len(w) >= 5)
 ), again as (
@@ -68,7 +66,7 @@ select f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 10 or 100 * n_repeat_words > 20 * n_words) as base_failed,
   not (n_words < 10 or 100 * n_repeat_words > 20 * n_words)
     and n_words - coalesce(gone, 0) >= 10 and n_words - coalesce(gone, 0) >= n_words * 0.2 as kept
-from f left join removed r on f.host = r.host and f.text = r.text
+from f left join removed using (doc_id)
 """
 
 #: By query.

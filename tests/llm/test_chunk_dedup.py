@@ -59,6 +59,37 @@ def test_repeats_equal_brute_force(spark):
     assert {i: n for i, n in removed.items() if n} == {i: n for i, n in got.items() if n}
 
 
+def test_texts_without_repeats_equal_brute_force(spark):
+    rng = random.Random(10)
+    parts = [prose(rng, 60) + " é漢字 " for _ in range(5)]
+    rows = [(i, " ".join(rng.choice(parts) for _ in range(rng.randint(1, 4)))) for i in range(20)]
+    seen, wanted = set(), {}
+    for i, t in rows:
+        b, ends, left = t.encode(), chunkdedup.chunk_ends(t.encode()), []
+        for a, e in zip([0, *ends], ends):
+            if b[a:e] not in seen:
+                left.append(b[a:e])
+            seen.add(b[a:e])
+        wanted[i] = b"".join(left).decode()
+    got = chunkdedup.deduplicated_texts(spark.createDataFrame(rows, "doc_id long, text string"), passage_bytes=0)
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == wanted
+
+
+def test_rows_of_one_id_are_told_apart_by_their_texts(spark):
+    rng = random.Random(11)
+    a, b = prose(rng, 25), prose(rng, 25)
+    rows = [(7, a), (7, a), (7, a), (7, b), (None, b), (None, prose(rng, 30)), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["end"]): r for r in chunkdedup.repeated_passages(docs).collect()}
+    assert set(got) == {(7, len(a)), (7, len(b)), (None, len(b))}
+    assert (got[7, len(a)]["n_rows"], got[7, len(a)]["removed_bytes"]) == (3, 0)
+    assert (got[7, len(b)]["removed_bytes"], got[None, len(b)]["removed_bytes"], got[None, len(b)]["copy_of"]) == (0, len(b), 7)
+    texts = sorted((r["text"] or "" for r in chunkdedup.deduplicated_texts(docs).collect()), key=len)
+    assert texts[:2] == ["", ""] and len(texts) == 7
+
+
 def test_odd_rows_have_defined_results(spark):
     assert chunkdedup.repeated_passages(odd_docs(spark)).where("doc_id in (6, 7)").count() >= 1
     assert chunkdedup.repeated_passages(no_docs(spark)).count() == 0
+    assert chunkdedup.deduplicated_texts(odd_docs(spark)).count() == 15
+    assert chunkdedup.deduplicated_texts(no_docs(spark)).count() == 0

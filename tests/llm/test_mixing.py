@@ -31,15 +31,54 @@ def test_copies_have_the_rate_as_mean(spark):
 
 
 def test_posteriors_equal_brute_force(spark):
-    model = mixing.Membership(["a", "b"], [math.log(0.5)] * 2, [[math.log(1 / 23)] * 23, [math.log((i + 1) / 276) for i in range(23)]])
-    text = "Kéwi ßñ " * 9
-    x = [text.lower().count(c) for c in mixing.LETTERS]
-    x.append(len(text) - sum(x))
-    scale = mixing.EVIDENCE / max(len(text), mixing.EVIDENCE)
-    logs = [p + scale * sum(n * v for n, v in zip(x, row)) for p, row in zip(model.prior, model.letters)]
-    wanted = [math.exp(v) / sum(math.exp(w) for w in logs) for v in logs]
-    got = mixing.with_membership(spark.createDataFrame([(text,)], "text string"), model, F.col("text"), "p").first()["p"]
-    assert all(abs(g - w) < 1e-9 for g, w in zip(got, wanted))
+    import xxhash
+
+    words = [[math.log((i + 1) / 36) for i in range(8)], [math.log((8 - i) / 36) for i in range(8)], [math.log(1 / 8)] * 8]
+    model = mixing.Membership(["a", "b", "c"], [math.log(0.5), math.log(0.2), math.log(0.3)], words)
+    texts = ["Kéwi ßñ " * 3, "", "one two three", "  x\n\ty  ", None]
+    got = mixing.with_membership(spark.createDataFrame([(t,) for t in texts], "text string"), model, F.col("text"), "p").collect()
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    for r in got:
+        at = [signed(xxhash.xxh64_intdigest(w.encode(), 42)) % 8 for w in (r["text"] or "").lower().split()]
+        logs = [p + sum(x[i] for i in at) for p, x in zip(model.prior, words)]
+        wanted = [math.exp(v - max(logs)) / sum(math.exp(w - max(logs)) for w in logs) for v in logs]
+        assert all(abs(g - w) < 1e-9 for g, w in zip(r["p"], wanted)), r
+
+
+def test_projected_gradient_equals_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    p = rng.dirichlet([0.4, 0.4, 0.4], 60)
+    n = rng.integers(1, 500, 60).astype(float)
+    rows = spark.createDataFrame([(float(a), b.tolist()) for a, b in zip(n, p)], "n_tokens double, posterior array<double>")
+    model = mixing.Membership(["a", "b", "c"], [0.0] * 3, [[]] * 3)
+    for targets in ({"a": 0.6, "b": 0.3, "c": 0.1}, {"a": 1.0}):  # one that can be met, and one that can't
+        fit = mixing.fit_steps(rows, model, targets, rounds=12)
+        start = p.T @ n
+        goal = start.sum() * np.array([targets.get(d, 0.0) for d in "abc"])
+        rates = np.ones(60)
+        for _ in fit.steps:
+            rates = np.maximum(0, rates - p @ ((p.T @ (n * rates) - goal) / start))
+        got = [r["r"] for r in rows.select(mixing.rate(F.col("posterior"), fit.steps).alias("r")).collect()]
+        assert np.allclose(got, rates)
+        assert abs(fit.residual - np.abs(p.T @ (n * rates) - goal).max() / start.sum()) < 1e-9
+
+
+def test_any_column_is_a_domain_and_unknown_targets_are_an_error(spark):
+    import pytest
+
+    topics = [f"topic{k}" for k in range(40)]
+    rows = [(i, " ".join(f"{topics[i % 40]}w{(i * 7 + j) % 5}" for j in range(20)), topics[i % 40], "s", "row") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, topic string, key string, copies string")
+    marks = labels(spark, [(i, 1, 0, "") for i in range(0, 400, 2)] + [(i, 1, 0, "") for i in range(1, 400, 40)])
+    got = {r["doc_id"]: r for r in mixing.mixing_rates(docs, marks, domain_col="topic").collect()}
+    learnt = {rows[r["doc_id"]][2] for r in marks.collect()}
+    assert set(got[0]["membership"]) == learnt and len(learnt) > 20
+    assert all(got[i]["membership"][rows[i][2]] > 0.9 for i in range(0, 400, 2)) and got[0]["residual"] <= 1e-2
+    assert mixing.mixed_documents(docs, marks, domain_col="topic").columns == docs.columns
+    with pytest.raises(ValueError, match="nowhere"):
+        mixing.mixing_rates(docs, marks, {"topic0": 0.5, "nowhere": 0.5}, domain_col="topic")
 
 
 def test_odd_rows_have_defined_results(spark):
