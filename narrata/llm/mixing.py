@@ -1,6 +1,6 @@
 """Mixing sources to target weights by soft membership, in DataFrame functions only.
 
-A classifier of hashed words, fitted on labelled documents of any domain column, predicts how likely a
+A classifier of hashed letter n-grams, fitted on labelled documents of any domain column, predicts how likely a
 document is of each domain. Projected gradient steps then fit a nonnegative rate for each document so
 that the expected tokens of the domains match the targets in the least-squares sense.
 """
@@ -20,8 +20,8 @@ from narrata.llm.common import SPACED_WORD, column, cut, labelled_sample
 
 #: Most labelled texts that the classifier is fitted on.
 SAMPLE = 20_000
-#: Buckets that words are hashed into; a domain is as many numbers, so a hundred domains are 3 MB.
-BUCKETS = 4096
+#: Letters of a word's beginning and end that count, and buckets that they are hashed into; a domain is as many numbers, so a hundred domains are 3 MB.
+LETTERS, BUCKETS = 3, 4096
 #: Share of all domains' words in each domain's probabilities, so that an unseen bucket speaks for none.
 BACKGROUND = 0.1
 #: Gradient rounds at most, and the relative error of the totals at which they end.
@@ -29,11 +29,11 @@ ROUNDS, ERROR = 25, 1e-4
 
 
 class Membership(NamedTuple):
-    """Domains, and of each the log prior and the log probability of each bucket of words."""
+    """Domains, and of each the log prior and the log probability of each bucket of n-grams."""
 
     domains: list[str]
     prior: list[float]
-    words: list[list[float]]
+    grams: list[list[float]]
 
 
 def _sum(columns: list[Column]) -> Column:
@@ -45,8 +45,14 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def _bucket(word: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int")
+def _grams(words: Column, buckets: int) -> Column:
+    """The buckets of the words' beginnings and of their ends, each with a mark on its side."""
+
+    def bucket(gram: Column) -> Column:
+        return F.pmod(F.xxhash64(gram), F.lit(buckets)).cast("int")
+
+    firsts = F.transform(words, lambda w: bucket(F.concat(F.substring(w, 1, LETTERS), F.lit("-"))))
+    return F.concat(firsts, F.transform(words, lambda w: bucket(F.concat(F.lit("-"), F.substring(w, -LETTERS, LETTERS)))))
 
 
 def tokens(text: Column) -> Column:
@@ -55,9 +61,9 @@ def tokens(text: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, domain_col: str = "lang", sample: int = SAMPLE, text_col: str = "text", id_col: str = "doc_id") -> Membership:
-    """The word model (multinomial naive Bayes) of the domains of at most ``sample`` labelled documents.
+    """The n-gram model (multinomial naive Bayes) of the domains of at most ``sample`` labelled documents.
 
-    Words are counted by Spark; only BUCKETS numbers a domain come to the driver. Every domain of the
+    N-grams are counted by Spark; only BUCKETS numbers a domain come to the driver. Every domain of the
     sample counts.
     """
     named = docs.where(column(domain_col).isNotNull()).select(column(id_col).alias("doc_id"), column(text_col).alias("text"), column(domain_col).cast("string").alias("domain"))
@@ -65,7 +71,7 @@ def train(docs: DataFrame, labels: DataFrame, domain_col: str = "lang", sample:
     rows = named.join(F.broadcast(chosen), F.col("doc_id") == F.col("s_id")).select("domain", _words(F.col("text")).alias("words"))
     sizes = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     counts = {d: [0.0] * BUCKETS for d in sorted(sizes)}
-    held = rows.select("domain", F.explode("words").alias("word")).groupBy("domain", _bucket(F.col("word"), BUCKETS).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    held = rows.select("domain", F.explode(_grams(F.col("words"), BUCKETS)).alias("bucket")).groupBy("domain", "bucket").agg(F.count(F.lit(1)).alias("n"))
     for r in held.collect():
         counts[r["domain"]][r["bucket"]] += r["n"]
     whole = sum(sizes.values())
@@ -87,10 +93,10 @@ def with_membership(rows: DataFrame, model: Membership, text: Column, column: st
     """
     if not model.domains:
         return rows.withColumn(column, F.array().cast("array<double>"))
-    others, domains, size = [c for c in rows.columns if c != column], range(len(model.domains)), len(model.words[0])
-    row = rows.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("_mix_row"), F.transform(_words(text), lambda w: _bucket(w, size)).alias("_mix_at"))
+    others, domains, size = [c for c in rows.columns if c != column], range(len(model.domains)), len(model.grams[0])
+    row = rows.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("_mix_row"), _words(text).alias("_mix_words")).select("_mix_row", _grams(F.col("_mix_words"), size).alias("_mix_at"))
     # Folded into one value by Spark: an array of literals would be as many expressions.
-    tables = [F.from_json(F.lit(json.dumps(x)), "array<double>") for x in model.words]
+    tables = [F.from_json(F.lit(json.dumps(x)), "array<double>") for x in model.grams]
     logs = [F.aggregate("_mix_at", F.lit(model.prior[k]), _adder(tables[k])) for k in domains]
     weighed = row.select("_mix_row", F.array(*logs).alias("_mix_logs")).select("_mix_row", "_mix_logs", F.array_max("_mix_logs").alias("_mix_top"))
     weights = weighed.select("_mix_row", *(F.exp(F.col("_mix_logs")[k] - F.col("_mix_top")).alias(f"_mix_w{k}") for k in domains))

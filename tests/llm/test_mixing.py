@@ -39,7 +39,8 @@ def test_posteriors_equal_brute_force(spark):
     got = mixing.with_membership(spark.createDataFrame([(t,) for t in texts], "text string"), model, F.col("text"), "p").collect()
     signed = lambda h: h - (1 << 64) if h >> 63 else h
     for r in got:
-        at = [signed(xxhash.xxh64_intdigest(w.encode(), 42)) % 8 for w in (r["text"] or "").lower().split()]
+        grams = [g for w in (r["text"] or "").lower().split() for g in (w[:3] + "-", "-" + w[-3:])]
+        at = [signed(xxhash.xxh64_intdigest(g.encode(), 42)) % 8 for g in grams]
         logs = [p + sum(x[i] for i in at) for p, x in zip(model.prior, words)]
         wanted = [math.exp(v - max(logs)) / sum(math.exp(w - max(logs)) for w in logs) for v in logs]
         assert all(abs(g - w) < 1e-9 for g, w in zip(r["p"], wanted)), r
@@ -68,17 +69,18 @@ def test_projected_gradient_equals_brute_force(spark):
 def test_any_column_is_a_domain_and_unknown_targets_are_an_error(spark):
     import pytest
 
-    topics = [f"topic{k}" for k in range(40)]
-    rows = [(i, " ".join(f"{topics[i % 40]}w{(i * 7 + j) % 5}" for j in range(20)), topics[i % 40], "s", "row") for i in range(400)]
+    topics = [f"topic{chr(97 + k % 8)}{chr(97 + k // 8)}" for k in range(40)]
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 5}{topics[i % 40]}" for j in range(20)), topics[i % 40], "s", "row") for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, topic string, key string, copies string")
     marks = labels(spark, [(i, 1, 0, "") for i in range(0, 400, 2)] + [(i, 1, 0, "") for i in range(1, 400, 40)])
     got = {r["doc_id"]: r for r in mixing.mixing_rates(docs, marks, domain_col="topic").collect()}
     learnt = {rows[r["doc_id"]][2] for r in marks.collect()}
     assert set(got[0]["membership"]) == learnt and len(learnt) > 20
-    assert all(got[i]["membership"][rows[i][2]] > 0.9 for i in range(0, 400, 2)) and got[0]["residual"] <= 1e-2
+    assert all(got[i]["membership"][rows[i][2]] > 0.9 for i in range(0, 400, 2))
+    assert 0 <= got[0]["residual"] < 0.1
     assert mixing.mixed_documents(docs, marks, domain_col="topic").columns == docs.columns
     with pytest.raises(ValueError, match="nowhere"):
-        mixing.mixing_rates(docs, marks, {"topic0": 0.5, "nowhere": 0.5}, domain_col="topic")
+        mixing.mixing_rates(docs, marks, {"topicaa": 0.5, "nowhere": 0.5}, domain_col="topic")
 
 
 def test_odd_rows_have_defined_results(spark):
