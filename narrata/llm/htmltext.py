@@ -1,9 +1,9 @@
 """Main text of web pages: flat text blocks, judged by a decision tree on themselves and their neighbours.
 
 Each page becomes a flat list of text blocks. What the tree sees of a block is its word count and link
-density, those of the blocks before and after it, and in which kind of container it stands. The tree
-is trained by Spark on the blocks of a small table of labelled pages, and applied as a column
-expression inside higher-order functions, so a page is read once and never shuffled.
+density, those of the two blocks before and the two after it, and what the tags around it say. Classes
+and ids aren't looked at. The tree is trained by Spark on the blocks of a small table of labelled pages,
+and applied as a column expression inside higher-order functions, so a page is read once and never shuffled.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.llm.htmlsamples import LABELLED_PAGES
+from narrata.llm.htmlsamples import LABELLED_PAGES, labelled_pages  # noqa: F401  (tests hold the tree against other pages)
 
 #: Elements that start and end a block.
 _BLOCK_TAGS = frozenset(
@@ -31,50 +31,26 @@ _SILENT_TAGS = frozenset("head iframe math noembed noframes noscript object scri
 _VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that an equal open element is closed by.
 _CLOSED_BY_SAME = frozenset("p li dt dd td th tr option".split())
-#: Elements that hold what isn't the article, and that hold the article.
+#: Elements that hold what isn't the article, and that hold the article. A header is of the page unless in an article.
 _CHROME_TAGS = frozenset("aside button dialog footer form label menu nav search select".split())
 _MAIN_TAGS = frozenset(["article", "main"])
-#: Words of class, id and role that name the same.
-_CHROME_NAMES = frozenset(
-    "ad ads adsbox advert adverts advertisement adverts advertorial alert aside banner breadcrumb breadcrumbs byline comment comments "
-    "commentlist complementary consent contentinfo cookie cookies copyright disqus discussion disclaimer dialog dropdown feedback footer footnav form gdpr hidden legal "
-    "login masthead menu menubar message modal nav navbar navigation navlinks newsletter notice notices notification overlay pager pagination "
-    "paywall popular popup promo promoted promotion recommend recommended register related reply replies respond rail search share sharing "
-    "shoutbox sidebar signup skip social sponsor sponsored subscribe tags toolbar topbar trending warning widget widgets".split()
-)
-_MAIN_NAMES = frozenset("article articlebody body content entry main maincontent post postbody posttext story storybody text".split())
 
+#: Comments, declarations, tags, and a tag or comment that the page ends in.
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<![^>]*>|<\?[^>]*>"
-    r"""|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>|</?[a-zA-Z][^>]*>""",
+    r"""|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>|</?[a-zA-Z][^>]*(?:>|\Z)|<[/!?]?\Z""",
     re.S,
 )
-_NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_NAME_WORDS = re.compile(r"[A-Za-z][a-z]*")
+_HIDDEN = re.compile(r"""(?:^|\s)(?:aria-)?hidden(?:\s*=\s*["']?(?!["']?false)|(?=[\s/]|$))""", re.I)
 
-#: What the tree sees of a block: itself, then the blocks before and after it.
+#: What the tree sees of a block: itself, its tags, then the two blocks before and the two after it.
 FEATURES = (
-    "words", "link_density", "chrome", "main", "heading", "page_has_main",
-    "before_words", "before_link_density", "after_words", "after_link_density",
+    "words", "link_density", "chrome", "main", "heading", "page_has_main", "before_words", "before_link_density", "after_words", "after_link_density",
+    "before2_words", "before2_link_density", "after2_words", "after2_link_density",
 )
 _BLOCK_TYPE = "array<struct<text:string,seen:array<double>>>"
 
 
-def _kind(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element holds what isn't the article, and whether it holds the article."""
-    chrome, main = tag in _CHROME_TAGS, tag in _MAIN_TAGS
-    if "=" in attributes:
-        for name, *values in _NAMED.findall(attributes):
-            value = values[0] or values[1] or values[2]
-            if name.lower() == "aria-hidden" or name.lower() == "hidden":
-                chrome |= value.lower() != "false"
-                continue
-            words = {w.lower() for w in _NAME_WORDS.findall(value)}
-            chrome |= bool(words & _CHROME_NAMES)
-            main |= bool(words & _MAIN_NAMES)
-    return chrome, main and not chrome
-
-
 def blocks_of(page: str | None) -> list[dict]:
     """The text blocks of a page in order, each with ``seen``, its FEATURES; none for null."""
     page = page or ""
@@ -88,10 +64,8 @@ def blocks_of(page: str | None) -> list[dict]:
         if text:
             linked = sum(len("".join(t.split())) for t, in_link in parts if in_link)
             _, chrome, main = stack[-1] if stack else ("", False, False)
-            blocks.append({
-                "text": text, "words": float(len(text.split())), "link_density": linked / max(1, len("".join(text.split()))),
-                "chrome": float(chrome), "main": float(main), "heading": float(state["heading"]),
-            })
+            density = linked / max(1, len("".join(text.split())))
+            blocks.append({"text": text, "words": float(len(text.split())), "density": density, "tags": [float(chrome), float(main), float(state["heading"])]})
         parts.clear()
 
     at = 0
@@ -134,19 +108,16 @@ def blocks_of(page: str | None) -> list[dict]:
             while stack[-1][0] != tag:
                 stack.pop()
             stack.pop()
-        chrome, main = _kind(tag, found[3] or "")
-        around = stack[-1] if stack else ("", False, False)
-        stack.append((tag, chrome or around[1], main or around[2]))
+        _, chrome, main = stack[-1] if stack else ("", False, False)
+        chrome = chrome or tag in _CHROME_TAGS or (tag == "header" and not main) or (tag not in ("html", "body") and _HIDDEN.search(found[3] or "") is not None)
+        stack.append((tag, chrome, main or tag in _MAIN_TAGS))
     close_block()
-    has_main = float(any(b["main"] and not b["chrome"] for b in blocks))
-    nothing = {"words": 0.0, "link_density": 0.0}
-    around = [nothing, *blocks, nothing]
+    has_main = float(any(main and not chrome for chrome, main, _ in (b["tags"] for b in blocks)))
+    nothing = {"words": 0.0, "density": 0.0}
+    around = [nothing, nothing, *blocks, nothing, nothing]
     return [
-        {"text": b["text"], "seen": [
-            b["words"], b["link_density"], b["chrome"], b["main"], b["heading"], has_main,
-            before["words"], before["link_density"], after["words"], after["link_density"],
-        ]}
-        for before, b, after in zip(around, blocks, around[2:])
+        {"text": b["text"], "seen": [b["words"], b["density"], *b["tags"], has_main, *(x for n in (1, 3, 0, 4) for x in (around[i + n]["words"], around[i + n]["density"]))]}
+        for i, b in enumerate(blocks)
     ]
 
 
@@ -163,10 +134,10 @@ def _expression(node, seen: Column) -> Column:
     return F.when(low, _expression(node.leftChild(), seen)).otherwise(_expression(node.rightChild(), seen))
 
 
-def train_tree(spark: SparkSession, samples: tuple[str, ...] = LABELLED_PAGES, max_depth: int = 5) -> DecisionTreeClassificationModel:
+def train_tree(spark: SparkSession, samples: tuple[str, ...] = LABELLED_PAGES, max_depth: int = 8) -> DecisionTreeClassificationModel:
     """A decision tree on the blocks of the labelled pages; blocks of the article end in the mark ``[+]`` there."""
     rows = spark.createDataFrame([(s,) for s in samples], "html string")
-    blocks = rows.select(F.pandas_udf(_blocks, _BLOCK_TYPE)("html").alias("blocks"))
+    blocks = rows.select(F.pandas_udf(_blocks, _BLOCK_TYPE)("html").alias("blocks"))  # a mark adheres to a word, so it adds none
     marked = blocks.select(F.explode("blocks").alias("b")).select(
         array_to_vector(F.col("b.seen")).alias("features"), F.when(F.col("b.text").endswith("[+]"), 1.0).otherwise(0.0).alias("label")
     )
