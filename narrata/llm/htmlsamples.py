@@ -31,11 +31,20 @@ _FEET = ("&copy; 1901 all rights reserved", "Written at home with care", "Contac
 
 
 def _links(rng: Random, n: int, tag: str = "li", around: str = "ul") -> str:
-    return f"<{around}>" + "".join(f"<{tag}><a href='/{i}'>{rng.choice(_LINKS)}</a></{tag}>" for i in range(n)) + f"</{around}>"
+    return f"<{around}>" + "".join(f"<{tag}><a href='/{i}'>{_link(rng)}</a></{tag}>" for i in range(n)) + f"</{around}>"
+
+
+def _link(rng: Random) -> str:
+    """What a link says: a word or two, or a whole headline."""
+    return rng.choice(_LINKS) if rng.random() < 0.5 else rng.choice(_SENTENCES[:4] + _SENTENCES[8:]).rstrip(".")
+
+
+def _title(rng: Random) -> str:
+    return rng.choice(_TITLES if rng.random() < 0.5 else _SENTENCES).rstrip(".")
 
 
 def _row(rng: Random, n: int) -> str:
-    return "<div>" + " | ".join(f"<a href='/{i}'>{rng.choice(_LINKS)}</a>" for i in range(n)) + "</div>"
+    return "<div>" + " | ".join(f"<a href='/{i}'>{_link(rng)}</a>" for i in range(n)) + "</div>"
 
 
 def _paragraph(rng: Random, least: int = 1, most: int = 4) -> str:
@@ -63,25 +72,25 @@ def _comments(rng: Random, n: int) -> str:
 
 def _article(rng: Random) -> str:
     """An article element, with what isn't it around it and in elements of it that say so."""
-    notice, title = rng.choice(_NOTICES), rng.choice(_TITLES)
+    notice, title = rng.choice(_NOTICES), _title(rng)
     inside = rng.choice(("", f"<aside>{rng.choice(_SENTENCES)}</aside>", f"<nav>{_links(rng, 3)}</nav>", f"<form><label>Name</label><p>{notice}</p></form>", f"<footer>{rng.choice(_FEET)}</footer>"))
     tag = rng.choice(("article", "article", "main"))
     head = f"<header><h1>{title}[+]</h1></header>" if rng.random() < 0.3 else f"<h1>{title}[+]</h1>"
     story = _story(rng, rng.randint(1, 6), True)
-    before = rng.choice((f"<header><p>{rng.choice(_SENTENCES)}</p></header>", f"<nav>{_links(rng, 6)}</nav>", _row(rng, 4))) + rng.choice(("", f"<div>{notice}</div>", f"<p>{rng.choice(_SENTENCES)}</p>"))
+    before = rng.choice((f"<header><p>{rng.choice(_SENTENCES)}</p></header>", f"<nav>{_links(rng, 6)}</nav>", _row(rng, 4))) + rng.choice(("", f"<div>{notice}</div>", f"<p>{rng.choice(_SENTENCES)}</p>", f"<div>{rng.choice(_SENTENCES)} {notice}</div>"))
     after = rng.choice(("", f"<section><h3>Opinions</h3>{_comments(rng, 3)}</section>", f"<div><p>{rng.choice(_OPINIONS)}</p><p>{rng.choice(_SENTENCES)}</p></div>"))
     return f"{before}<{tag}>{head}{story}{inside}{_paragraph(rng)}</{tag}>{after}<footer>{rng.choice(_FEET)}</footer>"
 
 
 def _blocks(rng: Random) -> str:
     """An article among plain blocks: links before and after it, notices and opinions between lines of links."""
-    title = f"<h1>{rng.choice(_TITLES)}[+]</h1>" if rng.random() < 0.8 else ""
+    title = f"<h1>{_title(rng)}[+]</h1>" if rng.random() < 0.8 else ""
     before = rng.choice((_row(rng, 4), _links(rng, 5), _links(rng, 3, "p", "div"))) + rng.choice(("", f"<div>{rng.choice(_NOTICES)}</div>" + _row(rng, 2)))
     after = rng.choice((_row(rng, 3), _links(rng, 4), "")) + rng.choice(("", "<h3>Opinions</h3>" + _comments(rng, 4), f"<h4>Archive</h4>{_links(rng, 4)}"))
     return f"{before}{title}{_story(rng, rng.randint(2, 6), False)}{after}" + rng.choice((f"<div>{rng.choice(_FEET)}</div>", f"<footer>{rng.choice(_FEET)}</footer>", ""))
 
 
-def labelled_pages(n: int = 160, seed: int = 7) -> tuple[str, ...]:
+def labelled_pages(n: int = 1000, seed: int = 7) -> tuple[str, ...]:
     """``n`` pages of both layouts, some of them cut off."""
     rng = Random(seed)
     pages = []

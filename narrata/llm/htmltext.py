@@ -45,9 +45,11 @@ _HIDDEN = re.compile(r"""(?:^|\s)(?:aria-)?hidden(?:\s*=\s*["']?(?!["']?false)|(
 
 #: What the tree sees of a block: itself, its tags, then the two blocks before and the two after it.
 FEATURES = (
-    "words", "link_density", "chrome", "main", "heading", "page_has_main", "before_words", "before_link_density", "after_words", "after_link_density",
+    "words", "link_density", "chrome", "main", "heading", "outside_main", "before_words", "before_link_density", "after_words", "after_link_density",
     "before2_words", "before2_link_density", "after2_words", "after2_link_density",
 )
+#: Words from which blocks look alike to the tree.
+_LONG_BLOCK = 40
 _BLOCK_TYPE = "array<struct<text:string,seen:array<double>>>"
 
 
@@ -65,7 +67,7 @@ def blocks_of(page: str | None) -> list[dict]:
             linked = sum(len("".join(t.split())) for t, in_link in parts if in_link)
             _, chrome, main = stack[-1] if stack else ("", False, False)
             density = linked / max(1, len("".join(text.split())))
-            blocks.append({"text": text, "words": float(len(text.split())), "density": density, "tags": [float(chrome), float(main), float(state["heading"])]})
+            blocks.append({"text": text, "words": float(min(_LONG_BLOCK, len(text.split()))), "density": density, "tags": [float(chrome), float(main), float(state["heading"])]})
         parts.clear()
 
     at = 0
@@ -112,11 +114,11 @@ def blocks_of(page: str | None) -> list[dict]:
         chrome = chrome or tag in _CHROME_TAGS or (tag == "header" and not main) or (tag not in ("html", "body") and _HIDDEN.search(found[3] or "") is not None)
         stack.append((tag, chrome, main or tag in _MAIN_TAGS))
     close_block()
-    has_main = float(any(main and not chrome for chrome, main, _ in (b["tags"] for b in blocks)))
+    has_main = any(main and not chrome for chrome, main, _ in (b["tags"] for b in blocks))
     nothing = {"words": 0.0, "density": 0.0}
     around = [nothing, nothing, *blocks, nothing, nothing]
     return [
-        {"text": b["text"], "seen": [b["words"], b["density"], *b["tags"], has_main, *(x for n in (1, 3, 0, 4) for x in (around[i + n]["words"], around[i + n]["density"]))]}
+        {"text": b["text"], "seen": [b["words"], b["density"], *b["tags"], float(has_main and not b["tags"][1]), *(x for n in (1, 3, 0, 4) for x in (around[i + n]["words"], around[i + n]["density"]))]}
         for i, b in enumerate(blocks)
     ]
 
@@ -134,14 +136,14 @@ def _expression(node, seen: Column) -> Column:
     return F.when(low, _expression(node.leftChild(), seen)).otherwise(_expression(node.rightChild(), seen))
 
 
-def train_tree(spark: SparkSession, samples: tuple[str, ...] = LABELLED_PAGES, max_depth: int = 8) -> DecisionTreeClassificationModel:
+def train_tree(spark: SparkSession, samples: tuple[str, ...] = LABELLED_PAGES, max_depth: int = 10) -> DecisionTreeClassificationModel:
     """A decision tree on the blocks of the labelled pages; blocks of the article end in the mark ``[+]`` there."""
-    rows = spark.createDataFrame([(s,) for s in samples], "html string")
-    blocks = rows.select(F.pandas_udf(_blocks, _BLOCK_TYPE)("html").alias("blocks"))  # a mark adheres to a word, so it adds none
-    marked = blocks.select(F.explode("blocks").alias("b")).select(
-        array_to_vector(F.col("b.seen")).alias("features"), F.when(F.col("b.text").endswith("[+]"), 1.0).otherwise(0.0).alias("label")
-    )
-    return DecisionTreeClassifier(maxDepth=max_depth, minInstancesPerNode=2, impurity="gini", seed=1).fit(marked)
+    # Features are those of the page without its marks, which would count as letters outside links.
+    rows = spark.createDataFrame([(s, s.replace("[+]", "")) for s in samples], "marked string, html string")
+    parsed = F.pandas_udf(_blocks, _BLOCK_TYPE)
+    pairs = rows.select(F.explode(F.arrays_zip(parsed("html").alias("b"), parsed("marked").alias("m"))).alias("x"))
+    marked = pairs.select(array_to_vector(F.col("x.b.seen")).alias("features"), F.when(F.col("x.m.text").endswith("[+]"), 1.0).otherwise(0.0).alias("label"))
+    return DecisionTreeClassifier(maxDepth=max_depth, minInstancesPerNode=5, impurity="gini", seed=1).fit(marked)
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", tree: DecisionTreeClassificationModel | None = None) -> DataFrame:

@@ -21,15 +21,17 @@ from pyspark.sql import functions as F
 from narrata.llm.common import labelled_sample
 
 #: Most labelled texts that the index and the calibration are fitted on, and their bytes together.
-EXAMPLES, EXAMPLE_BYTES = 6_000, 24 << 20
+EXAMPLES, EXAMPLE_BYTES = 4_000, 16 << 20
 #: Of them, one in so many only calibrates the score and is no example.
 CALIBRATE = 4
 #: A term's relevance: this floor, and a share of the deviations by which its label rate exceeds the mean.
 RELEVANCE_FLOOR, RELEVANCE_SHARE = 0.1, 0.1
+#: Texts that are scored side by side.
+BATCH = 128
 #: Examples that vote, examples a block, blocks that are scored first, and the similarity that the prior's vote weighs.
 NEIGHBOURS, BLOCK, FIRST_BLOCKS, PRIOR_WEIGHT = 16, 64, 8, 0.05
 #: A posting list of more than one in so many examples is long: it lies in blocks, with the greatest weight of each.
-LONG_LIST = 16
+LONG_LIST = 8
 #: Scores from which a text is called toxic.
 THRESHOLD = 0.3
 #: Lengths of the word beginnings that are terms beside whole words.
@@ -154,39 +156,54 @@ class Index:
         weights = (1 + np.log(np.fromiter(counts.values(), float, len(counts))[order])) * self.idf[at]
         return at, weights / max(np.sqrt((weights**2).sum()), 1e-12)
 
-    def nearest(self, at: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS) -> list[tuple[float, int]]:
-        """The k examples of greatest cosine, exactly; of equal ones those whose texts have the least hashes.
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> list[list[tuple[float, int]]]:
+        """Of each query (terms, weights) the k examples of greatest cosine, exactly; of equal ones those whose texts have the least hashes.
 
-        Only the query's own posting lists are read: short ones whole, long ones block by block. What a
-        block can reach at most is its best sum over short lists and its maxima in the long ones; blocks
-        are scored from the best on, and when the next can't reach the k-th best, none can.
+        Only the queries' own posting lists are read: short ones whole, long ones block by block. What a
+        block can reach at most is its best sum over short lists and its maxima in the long ones. The
+        blocks of the greatest reach are scored first; then those that can still reach the k-th best.
         """
-        if not len(at):
-            return []
+        if not len(self.ids):
+            return [[] for _ in queries]
         if not hasattr(self, "most"):
             self.unfold()
-        rows = self.long[at]
-        short, rows = rows < 0, rows[rows >= 0]
-        begin, end = self.lists[at[short]], self.lists[at[short] + 1]
-        postings = _ranges(begin, end)
-        sums = np.bincount(self.of[postings], np.repeat(weights[short], end - begin) * self.weights[postings], self.blocks * BLOCK).astype(float).reshape(-1, BLOCK)
-        asked = weights[~short]
-        reach = sums.max(1) + asked @ self.most[rows]
-        order = np.argsort(-reach, kind="stable")
-        order = order[reach[order] > 0]
+        dense = np.zeros((len(queries), self.in_blocks.shape[1]))
+        sums = np.zeros((len(queries), self.blocks, BLOCK))
+        for i, (at, weights) in enumerate(queries):
+            rows = self.long[at]
+            short = rows < 0
+            dense[i, rows[~short]] = weights[~short]
+            begin, end = self.lists[at[short]], self.lists[at[short] + 1]
+            postings = _ranges(begin, end)
+            if len(postings):
+                sums[i] = np.bincount(self.of[postings], np.repeat(weights[short], end - begin) * self.weights[postings], self.blocks * BLOCK).reshape(-1, BLOCK)
+        reach = sums.max(2) + dense @ self.most
         scores = np.zeros_like(sums)
-        done, step, least = 0, FIRST_BLOCKS, 0.0
-        while done < len(order) and (least <= 0 or reach[order[done]] >= least - 1e-9):
-            now = order[done : done + step]
-            scores[now] = sums[now] + asked @ self.in_blocks[now[:, None], rows] if len(rows) else sums[now]
-            done, step = done + step, step * 2
-            best = scores[order[:done]].ravel()
-            if len(best) >= k:
-                least = float(np.partition(best, len(best) - k)[len(best) - k])
-        scores = np.round(scores.ravel(), 12)
-        found = np.flatnonzero(scores >= round(least, 12) if least > 0 else scores > 0)
-        found = found[np.lexsort((self.rank[found], -scores[found]))][:k]
-        return list(zip(scores[found].tolist(), found.tolist()))
+        best = np.argpartition(-reach, min(FIRST_BLOCKS, self.blocks) - 1, axis=1)[:, :FIRST_BLOCKS]
+        now = np.zeros(reach.shape, bool)
+        np.put_along_axis(now, best, True, 1)
+        self._score_blocks(scores, sums, dense, now)
+        least = self._kth(scores, k)
+        self._score_blocks(scores, sums, dense, ~now & (reach > 0) & (reach >= least[:, None] - 1e-9))
+        scores = np.round(scores.reshape(len(queries), -1), 12)
+        least = np.maximum(self._kth(scores, k), 1e-12)
+        out = []
+        for own, worst in zip(scores, least):
+            found = np.flatnonzero(own >= worst)
+            found = found[np.lexsort((self.rank[found], -own[found]))][:k]
+            out.append(list(zip(own[found].tolist(), found.tolist())))
+        return out
+
+    def _score_blocks(self, scores: np.ndarray, sums: np.ndarray, dense: np.ndarray, wanted: np.ndarray) -> None:
+        for b in range(self.blocks):
+            some = np.flatnonzero(wanted[:, b])
+            if len(some):
+                scores[some, b] = sums[some, b] + dense[some] @ self.in_blocks[b]
+
+    @staticmethod
+    def _kth(scores: np.ndarray, k: int) -> np.ndarray:
+        flat = scores.reshape(len(scores), -1)
+        return np.partition(flat, flat.shape[1] - k, axis=1)[:, flat.shape[1] - k]  # a block has more examples than vote
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """The neighbours' labels weighted by the square of similarity, with the prior as one more voter."""
@@ -255,8 +272,8 @@ def _score(texts: pd.Series, shared, key: str) -> pd.DataFrame:
         _LAST.clear()
         _LAST[key] = shared.value
     index, rows = _LAST[key], []
-    for t in texts:
-        near = index.nearest(*index.vector(t))
+    vectors = [index.vector(t) for t in texts]
+    for near in (n for at in range(0, len(vectors), BATCH) for n in index.nearest(vectors[at : at + BATCH])):
         rows.append(Evidence(index.score(near), index.vote(near), [index.ids[n] for _, n in near], [s for s, _ in near], [int(index.labels[n]) for _, n in near]))
     return pd.DataFrame(rows, columns=Evidence._fields)
 

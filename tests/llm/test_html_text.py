@@ -60,10 +60,10 @@ def test_the_tree_judges_by_words_and_links_of_block_and_neighbours(spark, tree)
     weight = dict(zip(htmltext.FEATURES, tree.featureImportances.toArray()))
     near = sum(w for f, w in weight.items() if f.startswith(("before", "after")))
     density = sum(w for f, w in weight.items() if f.endswith("link_density"))
-    assert weight["words"] > 0.1 and weight["link_density"] > 0.01 and density > 0.1 and near > 0.1, weight
+    assert weight["words"] > 0.03 and weight["link_density"] > 0.03 and density > 0.05 and near > 0.03, weight
     # Held against pages that it hasn't seen.
-    rows = [b for page in htmltext.labelled_pages(60, seed=99) for b in htmltext.blocks_of(page)]
-    told = spark.createDataFrame([(b["seen"], b["text"].endswith("[+]")) for b in rows], "seen array<double>, article boolean")
+    rows = [x for page in htmltext.labelled_pages(60, seed=99) for x in zip(htmltext.blocks_of(page.replace("[+]", "")), htmltext.blocks_of(page), strict=True)]
+    told = spark.createDataFrame([(b["seen"], m["text"].endswith("[+]")) for b, m in rows], "seen array<double>, article boolean")
     right = told.select((htmltext._expression(tree._java_obj.rootNode(), F.col("seen")) == F.col("article").cast("double")).alias("ok"))
     assert right.where("ok").count() / len(rows) > 0.93
 

@@ -71,8 +71,7 @@ def test_search_over_whole_documents_is_exact(spark):
     texts = sorted({r["text"] for r in documents(spark).collect()})
     texts += [" ".join(t.split()[:5]) for t in texts[:40]]
     index, wanted = exact(texts)
-    for t, near in zip(texts, wanted):
-        got = index.nearest(*index.vector(t))
+    for got, near in zip(index.nearest([index.vector(t) for t in texts]), wanted):
         assert np.allclose([s for s, _ in got], [s for s, _ in near], atol=1e-9)
         clear = near[-1][0] + 1e-8  # at the last place many may tie
         assert {index.ids[n] for s, n in got if s > clear} == {n for s, n in near if s > clear}
@@ -80,8 +79,9 @@ def test_search_over_whole_documents_is_exact(spark):
 
 def test_every_text_with_a_known_word_has_neighbours(spark):
     index = built(["alpha beta", "gamma delta", "alpha"] * 40)
-    assert [index.ids[n] % 3 for _, n in index.nearest(*index.vector("gamma"))] == [1] * 16
-    assert index.nearest(*index.vector("unknown")) == [] and index.nearest(*index.vector(None)) == []
+    known, unknown, none = index.nearest([index.vector(t) for t in ("gamma", "unknown", None)])
+    assert [index.ids[n] % 3 for _, n in known] == [1] * 16 and unknown == none == []
+    assert built([]).nearest([built([]).vector("gamma")]) == [[]]
 
 
 def test_renaming_ids_changes_no_score(spark):
