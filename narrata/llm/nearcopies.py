@@ -16,6 +16,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from narrata.llm.common import column, cut
 from narrata.llm.simhash import components
@@ -27,8 +28,8 @@ SHINGLE, LINK = 5, (4, 5)
 SEGMENTS, BITS, BALL = 24, 28, 3
 #: Differing bits of the whole fingerprint from which a candidate isn't looked at: four deviations beyond the mean at 0.8.
 MOST_BITS = 138
-#: Texts of a ball point up to which each pair is a candidate at once.
-CROWD = 4
+#: Texts of a ball point up to which each pair is a candidate at once, and heads that a text of a larger crowd meets first.
+CROWD, HEADS = 1, 3
 #: Shingles whose bits are counted at a time.
 _STEP = 1 << 12
 
@@ -133,9 +134,10 @@ def _connected(nodes: DataFrame, texts: DataFrame, crowd: int) -> DataFrame:
     """``(node, root)`` of nodes with a link: the components over all candidates that are similar enough.
 
     Points that up to ``crowd`` texts share give each pair. In a larger crowd pairs would grow with its
-    square: there each text first meets the point's head, the least text of it, of all its heads the
-    nearest and the least one. Then whatever lies outside a crowd's largest component meets the texts of
-    the crowd in other components, so no candidate that could join two components is left out.
+    square: there each text first meets heads, the least texts of its points, and of all its heads those
+    that it shares the most points with, and the least one. Then whatever lies outside a crowd's largest
+    component meets the texts of the crowd in other components, so no candidate that could join two
+    components is left out.
     """
     members = nodes.select("node", F.posexplode("segments").alias("which", "segment"))
     members = members.select("node", F.explode(_ball(F.col("segment"), F.col("which"))).alias("point"))
@@ -144,10 +146,11 @@ def _connected(nodes: DataFrame, texts: DataFrame, crowd: int) -> DataFrame:
     few, many = shared.where(F.col("n") <= crowd), shared.where(F.col("n") > crowd)
     other = few.select(F.col("node").alias("b"), F.col("point").alias("b_point"))
     pairs = few.join(other, F.col("point") == F.col("b_point")).where("node < b").select(F.col("node").alias("a"), "b").distinct()
-    headed = many.where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-    best = _near(headed, nodes).groupBy("a").agg(F.min_by("b", F.struct("bits", "b")).alias("nearest"), F.min("b").alias("least"))
-    best = best.select("a", F.explode(F.array("nearest", "least")).alias("b"))
-    first = cut(_ordered(_near(pairs, nodes).select("a", "b").union(best)))
+    headed = many.where("node != head").groupBy(F.col("node").alias("a"), F.col("head").alias("b")).agg(F.count(F.lit(1)).alias("points"))
+    by_points, by_head = Window.partitionBy("a").orderBy(F.desc("points"), "b"), Window.partitionBy("a").orderBy("b")
+    ranked = headed.select("a", "b", F.row_number().over(by_points).alias("nearest"), F.row_number().over(by_head).alias("least"))
+    best = ranked.where((F.col("nearest") <= HEADS) | (F.col("least") == 1)).select("a", "b")
+    first = cut(_ordered(_near(_ordered(pairs.union(best)), nodes).select("a", "b")))
     # The exact sets of all texts that are compared now or, in crowds, later; each text is read for it once.
     asked = first.select(F.col("a").alias("node")).union(first.select("b")).union(many.select("node")).distinct()
     wanted = asked.join(nodes.select("node", F.col("text_hash").alias("w_hash")), "node")
