@@ -10,10 +10,10 @@ from narrata.functions import text as T
 from narrata.operators.spans import LEAST_QUOTES, speaking_counts
 
 #: Labels that are pronouns, and genders that pronouns and gender words stand for.
-PRONOUNS = tuple(
-    "i me my mine myself we us our ours ourselves you your yours yourself yourselves he him his himself she her hers herself "
-    "it its itself they them their theirs themselves".split()
-)
+PRONOUNS = (
+    "i", "me", "my", "mine", "myself", "we", "us", "our", "ours", "ourselves", "you", "your", "yours", "yourself", "yourselves",
+    "he", "him", "his", "himself", "she", "her", "hers", "herself", "it", "its", "itself", "they", "them", "their", "theirs", "themselves",
+)
 PRONOUN_GENDERS = {"he": "male", "him": "male", "his": "male", "himself": "male", "she": "female", "her": "female", "hers": "female", "herself": "female"}
 GENDER_WORDS = {"f": "female", "female": "female", "woman": "female", "girl": "female", "m": "male", "male": "male", "man": "male", "boy": "male"}
 #: Labels that are titles without a name.
