@@ -59,8 +59,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         # Strings of added tokens have ids of their own: texts that hold one are encoded whole.
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
-        self.added = re.compile("|".join(map(re.escape, added)), re.I) if added else None
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.feed = self._single(["\n"])["\n"]
         self.words: dict[str, bytes] = {}  # of words after a blank, which isn't in the key, or with their line feed
         self.parts: dict[str, bytes] = {}  # of pieces as they are
@@ -69,7 +68,7 @@ class Encoder:
         """Ids of each text, with the end id."""
         words, others, places, whole = [], [], [], {}
         for n, t in enumerate(texts):
-            if self.added and self.added.search(t):
+            if any(token in t for token in self.added):
                 whole[n] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
             else:
                 first, *rest = t.replace("\n", " \n").split(" ") if _plain(t) else (None,)
