@@ -22,7 +22,7 @@ K = 5
 #: Rows of a table of fingerprints or hashes that may be broadcast (16 to 100 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 #: Distinct words whose hashes a worker keeps.
-MEMO = 400_000
+MEMO = 100_000
 
 #: Bytes that aren't in words become blanks, A-Z become a-z.
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -106,12 +106,16 @@ def spans_of(text: str | None, item: str | None) -> list[tuple[int, int]]:
     return spans
 
 
-def _prints(lengths: tuple[int, ...], text: Column) -> Column:
-    @F.pandas_udf("array<long>")
-    def prints(texts: pd.Series) -> pd.Series:
-        return pd.Series([prints_of(words_of(t), lengths) for t in texts], dtype="object")
+def _winnowed(docs: DataFrame, others: list[Column], lengths: tuple[int, ...], text_col: str) -> DataFrame:
+    """Per row ``others``, what names its text, its words and its fingerprints; texts are read for it once."""
 
-    return prints(text)
+    @F.pandas_udf("n_words long, prints array<long>")
+    def winnowed(texts: pd.Series) -> pd.DataFrame:
+        found = ((len(w), prints_of(w, lengths)) for w in map(words_of, texts))
+        return pd.DataFrame(found, columns=["n_words", "prints"])
+
+    text = column(text_col)
+    return cut(docs.select(*others, *_key(text, "d"), winnowed(text).alias("s")).select("*", "s.*").drop("s"))
 
 
 def _item_prints(texts: pd.Series) -> pd.Series:
@@ -132,30 +136,39 @@ def _n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(lower_ascii(text), F.lit(_WORD)), F.lit(0)).cast("long")
 
 
-def hits_by_text(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def _items(benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text") -> tuple[DataFrame, tuple[int, ...]]:
+    """Items with words and what names their texts, and the lengths of those shorter than a window."""
+    items = benchmark.select(column(item_col).cast("string").alias("item"), column(item_text_col).alias("item_text")).where("item is not null and item_text is not null").distinct()
+    items = items.select("item", "item_text", *_key(F.col("item_text"), "i"), _n_words(F.col("item_text")).alias("n")).where("n > 0")
+    return items, tuple(sorted(r["n"] for r in items.where(F.col("n") < GUARANTEE).select("n").distinct().collect()))  # nine at most
+
+
+def _hits(docs: DataFrame, base: DataFrame, items: DataFrame, text_col: str, broadcast_rows: int) -> DataFrame:
     """``(d_hash, d_size, spans, items)`` of each distinct text of ``docs`` that holds a window of an item.
 
-    Texts are winnowed where they lie, and their fingerprints joined with those of the items: against
-    a broadcast of checked size, else by a shuffle that Spark can split where a fingerprint is in a
-    great many documents. Only texts that share a fingerprint are read again, to extend the hits.
+    Fingerprints (``base``) are joined with those of the items: against a broadcast of checked size,
+    else by a shuffle that Spark can split where a fingerprint is in a great many documents. Only texts
+    that share a fingerprint are read again, to extend the hits.
     """
-    items = benchmark.select(column(item_col).cast("string").alias("item"), column(item_text_col).alias("item_text")).where("item is not null and item_text is not null").distinct()
-    items = items.select("item", "item_text", *_key(F.col("item_text"), "i"), _n_words(F.col("item_text")).alias("n")).where("n > 0")
-    lengths = tuple(sorted(r["n"] for r in items.where(F.col("n") < GUARANTEE).select("n").distinct().collect()))  # nine at most
     of_items = items.select("i_hash", "i_size", F.explode(F.pandas_udf(_item_prints, "array<long>")("item_text")).alias("i_print")).distinct()
-    text = column(text_col)
-    rows = docs.where(text.isNotNull()).select(*_key(text, "d"), text.alias("text"))
-    of_docs = rows.select("d_hash", "d_size", F.explode(_prints(lengths, F.col("text"))).alias("print"))
+    of_docs = base.select("d_hash", "d_size", F.explode("prints").alias("print"))
     met = of_docs.join(bounded_broadcast(of_items, broadcast_rows), F.col("print") == F.col("i_print"))
     pairs = cut(met.select("d_hash", "d_size", "i_hash", "i_size").distinct())
     wanted = bounded_broadcast(pairs.select("d_hash", "d_size").distinct(), broadcast_rows)
-    texts = rows.join(wanted, ["d_hash", "d_size"]).dropDuplicates(["d_hash", "d_size"])
+    text = column(text_col)
+    texts = docs.where(text.isNotNull()).select(*_key(text, "d"), text.alias("text")).join(wanted, ["d_hash", "d_size"]).dropDuplicates(["d_hash", "d_size"])
     each = pairs.join(texts, ["d_hash", "d_size"]).join(items, ["i_hash", "i_size"])
     found = each.select("d_hash", "d_size", "item", F.pandas_udf(_spans, "array<struct<start:long,end:long>>")("text", "item_text").alias("spans"))
     found = found.where(F.size("spans") > 0).groupBy("d_hash", "d_size")
     return found.agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
 
 
+def hits_by_text(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``(d_hash, d_size, spans, items)`` of each distinct text of ``docs`` that holds a window of an item."""
+    items, lengths = _items(benchmark, item_col, item_text_col)
+    return _hits(docs, _winnowed(docs, [], lengths, text_col), items, text_col, broadcast_rows)
+
+
 def _same(text: Column) -> Column:
     return (F.xxhash64(text) == F.col("d_hash")) & (F.octet_length(text) == F.col("d_size"))
 
@@ -193,12 +206,13 @@ def hit_digest(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             F.greatest(acc["end"], x["end"]).alias("end"),
         ),
     )
-    hits = hits_by_text(docs, benchmark, text_col).select(
-        "d_hash", "d_size", union["n"].alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    items, lengths = _items(benchmark)
+    base = _winnowed(docs, [column(id_col).alias("doc_id")], lengths, text_col)
+    hits = _hits(docs, base, items, text_col, BROADCAST_ROWS).select(
+        F.col("d_hash").alias("h_hash"), F.col("d_size").alias("h_size"), union["n"].alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
     )
-    text = column(text_col)
-    rows = docs.select(column(id_col).alias("doc_id"), _n_words(text).alias("n_words"), F.xxhash64(text).alias("t_hash"), F.octet_length(text).alias("t_size"))
-    met = rows.join(bounded_broadcast(cut(hits), BROADCAST_ROWS), (F.col("t_hash") == F.col("d_hash")) & (F.col("t_size") == F.col("d_size")), "left")
+    rows = base.select("doc_id", "n_words", "d_hash", "d_size")
+    met = rows.join(bounded_broadcast(cut(hits), BROADCAST_ROWS), (F.col("d_hash") == F.col("h_hash")) & (F.col("d_size") == F.col("h_size")), "left")
     return met.select(
         "doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"),
         F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.coalesce("n_hit", zero) > 0).alias("contaminated"),
