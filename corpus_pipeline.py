@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from narrata.llm import decontaminate, mixing, nearcopies, quality, sharding
-from narrata.llm.common import shared_folder, table
+from narrata.llm.common import removed, shared_folder, table
 
 #: Shares of all tokens by domain that the mix aims at.
 TARGETS = {"en": 0.55, "de": 0.15, "es": 0.15, "fr": 0.15}
@@ -65,4 +65,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if n < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{n}-{name}")
             docs = spark.read.parquet(f"{folder}/{n}-{name}")
+            if n:  # nothing reads what the stage before has written any more
+                removed(spark, f"{folder}/{n - 1}-{STAGES[n - 1][0]}")
     return docs
