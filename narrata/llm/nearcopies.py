@@ -97,22 +97,48 @@ def _ball(segment: Column, which: Column) -> Column:
     return F.array(*points)
 
 
+def _bits(x: str, y: str) -> Column:
+    """In how many bits two complete fingerprints differ."""
+    bits = [F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i]).bitwiseAND(F.lit(_MASK))) for i in range(SEGMENTS)]
+    return sum(bits[1:], bits[0])
+
+
 def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """``pairs (a, b)`` whose complete fingerprints are near enough, with their distance in bits."""
     of_a = nodes.select(F.col("node").alias("a"), F.col("segments").alias("x"))
     of_b = nodes.select(F.col("node").alias("b"), F.col("segments").alias("y"))
-    bits = [F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i]).bitwiseAND(F.lit(_MASK))) for i in range(SEGMENTS)]
-    met = pairs.join(of_a, "a").join(of_b, "b").select("a", "b", sum(bits[1:], bits[0]).alias("bits"))
+    met = pairs.join(of_a, "a").join(of_b, "b").select("a", "b", _bits("x", "y").alias("bits"))
     return met.where(F.col("bits") <= MOST_BITS)
 
 
+def _similar(both: Column, x: Column, y: Column) -> Column:
+    """Whether sets of x and y shingles with ``both`` in common are similar enough, in whole numbers."""
+    part, whole = LINK
+    return both * (part + whole) >= (x + y) * part
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the distinct ``pairs (a, b)`` whose sets are similar enough."""
     met = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     met = met.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    both, part, whole = F.size(F.array_intersect("x", "y")), *LINK
-    # both / (x + y - both) >= part / whole, in whole numbers.
-    return met.where(both * (part + whole) >= (F.size("x") + F.size("y")) * part).select("a", "b")
+    both = F.size(F.array_intersect("x", "y"))
+    return met.where(_similar(both, F.size("x"), F.size("y"))).select("a", "b")
+
+
+def _sharable(many: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(node, size, sharable)`` of crowded texts: their shingles, and how many of them any other crowded text has.
+
+    Two texts have no more in common than either's sharable ones, so most texts that are like no other
+    are known by this alone. Texts are written as what they have beyond their least head, so that rows
+    are in proportion to what tells the texts of a crowd apart; the heads are written whole.
+    """
+    base = many.groupBy("node").agg(F.min("head").alias("base"))
+    whole = base.select("base").distinct().join(sets.select(F.col("node").alias("h_node"), F.col("shingles").alias("of_base")), F.col("base") == F.col("h_node")).select("base", "of_base")
+    known = cut(base.join(sets.select("node", "shingles"), "node").join(whole, "base").select("node", F.size("shingles").alias("size"), F.array_except("shingles", "of_base").alias("beyond")))
+    each = known.select("node", F.explode("beyond").alias("shingle")).union(whole.select("base", F.explode("of_base")))
+    holders = each.groupBy("shingle").agg(F.min("node").alias("least"), F.max("node").alias("most"))
+    alone = holders.where("least = most").groupBy("least").agg(F.count(F.lit(1)).alias("alone"))
+    return known.join(alone, F.col("node") == F.col("least"), "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("sharable"))
 
 
 def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -121,10 +147,6 @@ def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(known, F.col("node") == F.col("r_node"), "left").withColumn("root", F.coalesce("r_root", "node")).drop("r_node", "r_root")
 
 
-def _ordered(a: Column, b: Column) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -135,7 +157,8 @@ def _connected(nodes: DataFrame, texts: DataFrame, crowd: int) -> DataFrame:
     Points that up to ``crowd`` texts share give each pair. In a larger crowd pairs would grow with its
     square: there each text first meets the point's head, the least text of it, of all its heads the
     nearest and the least one. Then whatever lies outside a crowd's largest component meets the texts of
-    the crowd in other components, so no candidate that could join two components is left out.
+    the crowd in other components, so no candidate that could join two components is left out, but for
+    those that have too few shingles in common with any text of the crowd (see :func:`_sharable`).
     """
     members = nodes.select("node", F.posexplode("segments").alias("which", "segment"))
     members = members.select("node", F.explode(_ball(F.col("segment"), F.col("which"))).alias("point"))
@@ -155,15 +178,26 @@ def _connected(nodes: DataFrame, texts: DataFrame, crowd: int) -> DataFrame:
     sets = cut(read.select("node", F.pandas_udf(_sets, "array<long>")("text").alias("shingles")))
     links = cut(_verified(first, sets))
     roots = components(links)
-    rows = _labelled(many.select("node", "point"), roots)
-    main = rows.groupBy("point", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("point").agg(F.max(F.struct("n", "root")).alias("m"), F.count(F.lit(1)).alias("roots"))
-    main = main.where("roots > 1").select(F.col("point").alias("m_point"), F.col("m.root").alias("m_root"))
-    open_rows = cut(rows.join(main, F.col("point") == F.col("m_point")).select("node", "point", "root", (F.col("root") != F.col("m_root")).alias("outside")))
-    if open_rows.isEmpty():
+    if many.isEmpty():
         return roots
-    against = open_rows.select(F.col("node").alias("b"), F.col("point").alias("b_point"), F.col("root").alias("b_root"))
-    met = open_rows.where("outside").join(against, F.col("point") == F.col("b_point")).where("root != b_root")
-    later = cut(_verified(_near(_ordered(met.select(F.col("node").alias("a"), "b")), nodes), sets))
+    facts = _labelled(_sharable(many, sets), roots)
+    rows = cut(many.select("node", "point").join(facts, "node"))
+    of_root = rows.groupBy("point", "root").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("size"))
+    main = of_root.groupBy("point").agg(F.max(F.struct("n", "root")).alias("m"), F.count(F.lit(1)).alias("roots"), F.min("size").alias("least_size"))
+    main = main.where("roots > 1").select(F.col("point").alias("m_point"), F.col("m.root").alias("m_root"), "least_size")
+    able = _similar(F.col("sharable"), F.col("size"), F.col("least_size"))
+    open_rows = cut(rows.join(main, (F.col("point") == F.col("m_point")) & able).withColumn("outside", F.col("root") != F.col("m_root")).drop("m_point", "m_root", "least_size"))
+    outside = open_rows.where("outside")
+    # Only points that someone outside still asks about go on, with the complete fingerprints.
+    asked_points = outside.select(F.col("point").alias("a_point")).distinct()
+    prints = nodes.select("node", "segments")
+    against = open_rows.join(asked_points, F.col("point") == F.col("a_point"), "left_semi").join(prints, "node")
+    against = against.select(*(F.col(c).alias(f"b_{c}") for c in against.columns))
+    # All of it is the join's own condition: pairs that can't be similar, or are compared from the other side, are no rows.
+    apart = (F.col("root") != F.col("b_root")) & (~F.col("b_outside") | (F.col("node") < F.col("b_node")))
+    likely = _similar(F.least("sharable", "b_sharable"), F.col("size"), F.col("b_size")) & (_bits("segments", "b_segments") <= MOST_BITS)
+    met = outside.join(prints, "node").join(against, (F.col("point") == F.col("b_point")) & apart & likely)
+    later = cut(_verified(_ordered(met.select(F.col("node").alias("a"), F.col("b_node").alias("b"))), sets))
     return roots if later.isEmpty() else components(links.union(later))
 
 
