@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from narrata.llm.common import column, cut
+from narrata.llm.common import bounded_broadcast, column, cut
 from narrata.llm.simhash import components
 
 #: Words of a shingle; a link needs LINK[0] / LINK[1] of the united shingles in both texts.
@@ -29,6 +29,8 @@ SEGMENTS, BITS, BALL = 24, 28, 3
 MOST_BITS = 138
 #: Texts of a ball point up to which each pair is a candidate at once.
 CROWD = 4
+#: Rows of hashes and ids, a few dozen bytes each, up to which a side of a join is broadcast.
+BROADCAST_ROWS = 200_000
 #: Shingles whose bits are counted at a time.
 _STEP = 1 << 12
 
@@ -156,7 +158,7 @@ def _connected(nodes: DataFrame, texts: DataFrame, crowd: int) -> DataFrame:
 
     Points that up to ``crowd`` texts share give each pair. In a larger crowd pairs would grow with its
     square: there each text first meets the point's head, the least text of it, of all its heads the
-    nearest and the least one. Then whatever lies outside a crowd's largest component meets the texts of
+    one that it shares most points with and the least one. Then whatever lies outside a crowd's largest component meets the texts of
     the crowd in other components, so no candidate that could join two components is left out, but for
     those that have too few shingles in common with any text of the crowd (see :func:`_sharable`).
     """
@@ -167,14 +169,14 @@ def _connected(nodes: DataFrame, texts: DataFrame, crowd: int) -> DataFrame:
     few, many = shared.where(F.col("n") <= crowd), shared.where(F.col("n") > crowd)
     other = few.select(F.col("node").alias("b"), F.col("point").alias("b_point"))
     pairs = few.join(other, F.col("point") == F.col("b_point")).where("node < b").select(F.col("node").alias("a"), "b").distinct()
-    headed = many.where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-    best = _near(headed, nodes).groupBy("a").agg(F.min_by("b", F.struct("bits", "b")).alias("nearest"), F.min("b").alias("least"))
-    best = best.select("a", F.explode(F.array("nearest", "least")).alias("b"))
+    headed = many.where("node != head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("n"))
+    best = headed.groupBy("node").agg(F.min_by("head", F.struct(-F.col("n"), "head")).alias("nearest"), F.min("head").alias("least"))
+    best = best.select(F.col("node").alias("a"), F.explode(F.array("nearest", "least")).alias("b"))
     first = cut(_ordered(_near(pairs, nodes).select("a", "b").union(best)))
     # The exact sets of all texts that are compared now or, in crowds, later; each text is read for it once.
     asked = first.select(F.col("a").alias("node")).union(first.select("b")).union(many.select("node")).distinct()
-    wanted = asked.join(nodes.select("node", F.col("text_hash").alias("w_hash")), "node")
-    read = texts.join(wanted, F.col("text_hash") == F.col("w_hash")).dropDuplicates(["node"])
+    wanted = cut(asked.join(nodes.select("node", F.col("text_hash").alias("w_hash")), "node"))
+    read = texts.join(bounded_broadcast(wanted, BROADCAST_ROWS), F.col("text_hash") == F.col("w_hash")).dropDuplicates(["node"])
     sets = cut(read.select("node", F.pandas_udf(_sets, "array<long>")("text").alias("shingles")))
     links = cut(_verified(first, sets))
     roots = components(links)
@@ -223,4 +225,4 @@ def near_copies_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     label = _labelled(nodes.select("node", "best"), _connected(nodes, texts, crowd))
     kept = label.groupBy("root").agg(F.min("best").alias("k")).select(F.col("k.id").alias("_narrata_id"), F.col("k.row").alias("_narrata_kept"))
     same = (F.col("_narrata_row") == F.col("_narrata_kept")) & F.col(id_col).eqNullSafe(F.col("_narrata_id"))
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["_narrata_row"]).select(*map(column, columns))
+    return keyed.join(bounded_broadcast(cut(kept), BROADCAST_ROWS), same, "left_semi").dropDuplicates(["_narrata_row"]).select(*map(column, columns))
