@@ -200,7 +200,8 @@ def _connected(nodes: DataFrame, texts: DataFrame, crowd: int) -> DataFrame:
     likely = _similar(F.least("sharable", "b_sharable"), F.col("size"), F.col("b_size")) & (_bits("segments", "b_segments") <= MOST_BITS)
     met = outside.join(prints, "node").join(against, (F.col("point") == F.col("b_point")) & apart & likely)
     later = cut(_verified(_ordered(met.select(F.col("node").alias("a"), F.col("b_node").alias("b"))), sets))
-    return roots if later.isEmpty() else components(links.union(later))
+    # The first round's components stand for its links, so that the second starts from stars.
+    return roots if later.isEmpty() else components(later.union(roots))
 
 
 def near_copies_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
