@@ -70,4 +70,36 @@ from f left join removed using (doc_id)
 """
 
 #: By query.
-ORACLE = {"op8_decontamination": OP8, "op9_quality_rules": OP9}
+OP11 = rf"""
+with p as (
+  select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents
+), w as (
+  select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p
+), f as (
+  select lang, g, k, count(*) as f
+  from (select lang, k, unnest([w[i : i + k - 1] for i in range(1, len(w) - k + 2)]) as g from w, (select unnest(range(1, 6)) as k) where len(w) >= k)
+  group by all
+), t as (
+  select lang, sum(f) as n from f where k = 1 group by lang
+), c as (
+  select lang, g, k, f as a from f where k > 1 and f >= 100
+), cuts as (
+  select c.lang, c.g, c.k, a, j, x.f as l, y.f as r, n, (1000 * a::hugeint * n::hugeint) // (x.f::hugeint * y.f::hugeint) as score
+  from (select *, unnest(range(1, k)) as j from c) c
+  join f x on x.lang = c.lang and x.g = c.g[1 : j] join f y on y.lang = c.lang and y.g = c.g[j + 1 : c.k] join t on t.lang = c.lang
+), best as (
+  select * from cuts qualify row_number() over (partition by lang, g order by score, j) = 1
+), inner_parts as (
+  select distinct lang, g[i : i + m - 1] as g, a from (select *, unnest(range(1, k - m + 2)) as i from (select *, unnest(range(2, k)) as m from c where k > 2))
+), kept as (
+  select * from best where not exists (select 1 from inner_parts h where h.lang = best.lang and h.g = best.g and 100 * h.a >= 100 * best.a)
+)
+select lang, rank, phrase, a, l, r, n, score from (
+  select lang, row_number() over (partition by lang order by score desc, a desc, array_to_string(g, ' ')) as rank, array_to_string(g, ' ') as phrase,
+    a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score
+  from kept
+) where rank <= 2000
+"""
+
+ORACLE = {"op8_decontamination": OP8, "op9_quality_rules": OP9, "op11_phrases": OP11}
