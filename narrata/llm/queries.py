@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from narrata.llm import chunkdedup, decontaminate, htmltext, linerules, mixing, phrases, quality, sharding, simhash, sql, tokenfile, toxicity
+from narrata.llm import alignment, chunkdedup, decontaminate, htmltext, linerules, mixing, packing, phrases, quality, sharding, simhash, sql, tokenfile, toxicity
 from narrata.llm.common import table
 
 
@@ -56,6 +56,14 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_pieces(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this module by its name."""
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
