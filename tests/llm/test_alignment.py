@@ -89,7 +89,7 @@ def test_chunks_give_what_whole_texts_give(plain):
         for text, got in zip(texts[at : at + 200], aligner.align(texts[at : at + 200])):
             one, two = plain(text)
             assert (got[2:] if got else (0, 0)) == (len(one), len(two)), repr(text)
-            assert got == (aligner.whole(" " + text) if text else None), repr(text)
+            assert got == (aligner.whole(" " + text) if text else ()), repr(text)
 
 
 def test_made_texts_equal_brute_force(spark, plain):
