@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from narrata.functions import text as T
-from narrata.operators import boundaries
+from narrata.operators import boundaries, spans
 
 
 def heading_candidates(cleaned: DataFrame) -> DataFrame:
@@ -54,6 +54,22 @@ def with_words(plan: DataFrame, books: DataFrame) -> DataFrame:
     return plan.join(books, "book_id").select(*plan.columns, T.latin_word_count(text).alias("word_count"))
 
 
+def plan_artifacts(plan: DataFrame, books: DataFrame, mapping: DataFrame, mode: str = "original", requested_count: int | None = None) -> DataFrame:
+    """Plans as artifacts, a row a book: version, mode, digest of the text, and the chapters with their pages and words as an array.
+
+    ``mapping``: book_id, source_page, cleaned_start, cleaned_end. Chapters are numbers and titles by then; texts meet them once.
+    """
+    worded = with_words(plan, books)
+    edges = worded.select("book_id", "index", F.explode(F.array("start_offset", F.greatest("start_offset", F.col("end_offset") - 1))).alias("offset"))
+    paged = edges.join(spans.page_at(edges, mapping), ["book_id", "offset"]).groupBy("book_id", "index").agg(F.min_by("page", "offset").alias("start_page"), F.max_by("page", "offset").alias("end_page"))
+    chapter = F.struct("index", "title", "start_offset", "end_offset", "start_page", "end_page", "source_type", "word_count")
+    listed = worded.join(paged, ["book_id", "index"]).groupBy("book_id").agg(F.array_sort(F.collect_list(chapter)).alias("chapters"))
+    return books.select("book_id", F.sha2("text", 256).alias("cleaned_text_sha256")).join(listed, "book_id").select(
+        "book_id", F.lit(1).alias("schema_version"), F.lit(mode).alias("mode"), F.lit(requested_count).cast("int").alias("requested_count"), "cleaned_text_sha256",
+        F.array().cast("array<string>").alias("warnings"), "chapters",
+    )
+
+
 def chapter_range(plan: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:
     """Chapters ``first`` to ``last`` (from 1, both included; null: to the edge), numbered from 1 again."""
     low = 1 if first is None else first

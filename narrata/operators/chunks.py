@@ -5,7 +5,6 @@ A chapter is packed in one scan of its own text, inside its row, so chapters are
 
 from __future__ import annotations
 
-import hashlib
 import json
 import math
 from bisect import bisect_right
@@ -16,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from narrata.functions import canonical
 from narrata.operators import boundaries as B
 
 
@@ -95,15 +95,11 @@ def canonical_json(value: object) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
-def with_input_hash(chunks: DataFrame, metadata: dict, column: str = "input_hash") -> DataFrame:
-    """Chunks with the digest of their text and the settings it is spoken with."""
-    text = canonical_json(metadata)
-
-    @F.pandas_udf("string")
-    def digest(texts: pd.Series) -> pd.Series:
-        return pd.Series([hashlib.sha256(f'{{"metadata":{text},"text":{json.dumps(t, ensure_ascii=False)}}}'.encode()).hexdigest() for t in texts], dtype="object")
-
-    return chunks.withColumn(column, digest("text"))
+def with_input_hash(chunks: DataFrame, metadata: dict, column: str = "input_hash", implementation: str | None = None) -> DataFrame:
+    """Chunks with the digest of their text and the settings it is spoken with; ``implementation``: of an engine whose own changes count."""
+    fixed = f'{{"metadata":{canonical_json(metadata)},' + (f'"synthesis_implementation":{canonical_json(implementation)},' if implementation is not None else "")
+    text = F.coalesce(canonical.quoted(F.col("text")), F.lit("null"))
+    return chunks.withColumn(column, F.sha2(F.concat(F.lit(fixed + '"text":'), text, F.lit("}")), 256))
 
 
 def reuse(plan: DataFrame, completed: DataFrame) -> DataFrame:

@@ -15,13 +15,21 @@ LEAST_QUOTES = 10
 def page_at(offsets: DataFrame, mapping: DataFrame) -> DataFrame:
     """``(book_id, offset, page)``: the page that holds an offset; past the end the last, in a gap the nearest.
 
-    Every page of the book is a candidate, so the join needs the book alone; of equal distances the
-    first page wins. ``mapping``: book_id, source_page, cleaned_start, cleaned_end.
+    Offsets are sorted in between the pages of their book, so that each sees the page that begins before
+    it and the one after it; of equal distances the first wins. ``mapping``: book_id, source_page,
+    cleaned_start, cleaned_end, in order and without overlaps.
     """
-    met = offsets.join(mapping, "book_id")
-    inside = (F.col("offset") >= F.col("cleaned_start")) & (F.col("offset") < F.col("cleaned_end"))
-    away = F.when(inside, -1).otherwise(F.least(F.abs(F.col("offset") - F.col("cleaned_start")), F.abs(F.col("offset") - F.col("cleaned_end"))))
-    return met.groupBy("book_id", "offset").agg(F.min_by("source_page", F.struct(away, F.col("cleaned_start"))).alias("page"))
+    entry = F.struct("source_page", "cleaned_start", "cleaned_end")
+    marks = mapping.select("book_id", F.col("cleaned_start").cast("long").alias("at"), F.lit(0).alias("asked"), entry.alias("entry"))
+    asked = offsets.select("book_id", F.col("offset").cast("long").alias("at")).distinct().withColumns({"asked": F.lit(1), "entry": F.lit(None).cast(marks.schema["entry"].dataType)})
+    book = Window.partitionBy("book_id")
+    seen = Window.unboundedPreceding, Window.currentRow
+    rows = marks.unionByName(asked).select(
+        "book_id", "at", "asked", F.last("entry", True).over(book.orderBy("at", "asked").rowsBetween(*seen)).alias("a"),
+        F.last("entry", True).over(book.orderBy(F.desc("at"), F.desc("asked")).rowsBetween(*seen)).alias("b"),
+    ).where("asked = 1 and (a is not null or b is not null)")
+    nearer = F.coalesce(F.col("b").isNull() | (F.col("at") < F.col("a.cleaned_end")) | (F.col("at") - F.col("a.cleaned_end") <= F.col("b.cleaned_start") - F.col("at")), F.lit(False))
+    return rows.select("book_id", F.col("at").alias("offset"), F.when(nearer, F.col("a.source_page")).otherwise(F.col("b.source_page")).alias("page"))
 
 
 def chapter_of_spans(spans: DataFrame, chapters: DataFrame) -> DataFrame:
