@@ -31,7 +31,7 @@ BLOCK_IDS, SEGMENT_IDS = 1 << 16, 1 << 20
 #: The id after each document.
 END_ID = 2
 #: Distinct words whose ids a worker keeps.
-MEMO = 600_000
+MEMO = 1_200_000
 #: Rows of the table of parts that may be broadcast (16 bytes each).
 BROADCAST_PARTS = 200_000
 
@@ -118,15 +118,16 @@ class Encoder:
 
 def _looked_up(known: dict[str, bytes], pieces: list[str], learn: Callable[[list[str]], dict[str, bytes]]) -> list[bytes]:
     """The ids of each piece; those that aren't known are learnt and kept."""
-    found = list(map(known.get, pieces))
-    new = list({p for p, ids in zip(pieces, found) if ids is None})
-    if not new:
-        return found
-    fresh = learn(new)
-    if len(known) + len(new) > MEMO:
-        known.clear()
-    known.update(fresh)
-    return [fresh[p] if ids is None else ids for p, ids in zip(pieces, found)]
+    wanted = set(pieces)
+    new = wanted.difference(known)
+    if new:
+        fresh = learn(list(new))
+        if len(known) + len(new) > MEMO:
+            kept = {p: known[p] for p in wanted - new}
+            known.clear()
+            known.update(kept)
+        known.update(fresh)
+    return list(map(known.__getitem__, pieces))
 
 
 def _plain(text: str) -> bool:
