@@ -1,12 +1,17 @@
 """Canonical JSON of columns: keys in order at every depth, no blanks, nulls kept, non-ASCII as it is.
 
-The text is built from the column's type by built-in functions alone. Integers, true and false are as
-JSON has them; a floating number has the fewest digits that give it back, and one that isn't finite
-makes the whole text null, since it has no canonical form.
+The text is built from the column's type by built-in functions. Floating numbers alone go through
+Python, all those of a row at once, since the JVM doesn't always print the fewest digits that give a
+number back; a column without them needs no Python. A number that isn't finite makes the whole text
+null, since it has no canonical form.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
@@ -25,76 +30,77 @@ def quoted(text: Column) -> Column:
     return F.concat(F.lit('"'), escaped, F.lit('"'))
 
 
-def _fewest_digits(number: Column) -> Column:
-    """``(digits, point)`` of a positive number: its fewest digits as text, and the power of ten of the first.
+#: Stands for a floating number in a text; a JSON text has no control characters of its own.
+_HOLE = "\x01"
 
-    The JVM may print a digit more than needed; a shorter text is taken as long as it gives the number back.
-    """
-    parts = F.split(F.upper(number.cast("double").cast("string")), "E")
-    mantissa, power = F.get(parts, F.lit(0)), F.coalesce(F.get(parts, F.lit(1)).cast("int"), F.lit(0))
-    whole = F.substring_index(mantissa, ".", 1)
-    both = F.replace(mantissa, F.lit("."), F.lit(""))
-    digits = F.regexp_replace(both, "^0+", "")
-    point = power + F.length(whole) - 1 - (F.length(both) - F.length(digits))
-    first = F.struct(F.regexp_replace(digits, "0+$", "").alias("digits"), point.alias("point"))
 
-    def shorter(s: Column) -> Column:
-        kept = F.length(s["digits"]) - 1
-        rounded = F.floor((s["digits"].cast("decimal(20,0)") + F.lit(5).cast("decimal(20,0)")) / F.lit(10)).cast("string")
-        carried = s["point"] + F.length(rounded) - kept
-        found = F.struct(F.regexp_replace(rounded, "0+$", "").alias("digits"), carried.cast("int").alias("point"))
-        value = F.concat(F.lit("0."), rounded, F.lit("E"), (carried + 1).cast("string")).cast("double")
-        return F.when((kept > 14) & (value == number), found).otherwise(s)
+def _filled(texts: pd.Series, numbers: pd.Series) -> pd.Series:
+    """Texts with the fewest digits of each number in its hole, as Python writes them; null if a number isn't finite."""
 
-    once = F.transform(F.array(first), shorter)
-    return F.get(F.transform(once, shorter), F.lit(0))
+    def fill(text: str, row: Sequence[float]) -> str | None:
+        if not all(map(math.isfinite, row)):
+            return None
+        parts = text.split(_HOLE)
+        return parts[0] + "".join(repr(float(x)) + p for x, p in zip(row, parts[1:]))
 
+    return pd.Series([fill(t, row) for t, row in zip(texts, numbers)], dtype="object")
 
-def floating(number: Column) -> Column:
-    """The shortest text of a floating number: fixed from 1e-4 to below 1e16, else with an exponent of two digits or more; null if not finite."""
 
-    def shown(s: Column) -> Column:
-        digits, point, n = s["digits"], s["point"], F.length(s["digits"])
-        large = F.concat(F.rpad(F.substring(digits, F.lit(1), point + 1), point + 1, F.lit("0")), F.lit("."), F.when(n > point + 1, F.substring(digits, point + 2, n)).otherwise("0"))
-        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -point - 1), digits)
-        fraction = F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise("")
-        far = F.concat(F.substring(digits, F.lit(1), F.lit(1)), fraction, F.lit("e"), F.when(point < 0, "-").otherwise("+"), F.lpad(F.abs(point).cast("string"), F.greatest(F.lit(2), F.length(F.abs(point).cast("string"))), F.lit("0")))
-        return F.when(point.between(0, 15), large).when(point.between(-4, -1), small).otherwise(far)
+def canonical_json(value: Column, kind: t.DataType) -> Column:
+    """The canonical text of ``value``, which is of type ``kind``; null if it holds a number that isn't finite."""
+    return F.pandas_udf(_filled, "string")(_text(value, kind), _numbers(value, kind)) if _floats(kind) else _text(value, kind)
 
-    value = number.cast("double")
-    finite = ~F.isnan(value) & (F.abs(value) < float("inf"))
-    sign = F.when((value < 0) | (value.cast("string").startswith("-")), "-").otherwise("")
-    text = F.get(F.transform(F.transform(F.array(F.abs(value)), _fewest_digits), shown), F.lit(0))
-    return F.when(finite & (value == 0), F.concat(sign, F.lit("0.0"))).when(finite, F.concat(sign, text))
 
+def _floats(kind: t.DataType) -> bool:
+    """Whether values of a type hold floating numbers."""
+    if isinstance(kind, t.ArrayType):
+        return _floats(kind.elementType)
+    if isinstance(kind, t.MapType):
+        return _floats(kind.valueType)
+    return any(_floats(f.dataType) for f in kind.fields) if isinstance(kind, t.StructType) else isinstance(kind, (t.DoubleType, t.FloatType))
+
+
+def _sorted_fields(kind: t.StructType) -> list[t.StructField]:
+    return sorted(kind.fields, key=lambda f: f.name)
 
-def canonical_json(value: Column, kind: t.DataType) -> Column:
-    """The canonical text of ``value``, which is of type ``kind``; null if it holds a number that isn't finite."""
-    return F.when(value.isNull(), "null").otherwise(_present(value, kind))
 
+def _entries(value: Column) -> Column:
+    """The entries of a map in the order of its keys."""
+    return F.array_sort(F.map_entries(value), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
 
-def _joined(items: Column) -> Column:
-    """Texts with commas between; null if one of them is."""
-    return F.when(~F.exists(items, lambda x: x.isNull()), F.array_join(items, ","))
+
+def _numbers(value: Column, kind: t.DataType) -> Column:
+    """All floating numbers of a value, in the order of its text."""
+    if isinstance(kind, t.StructType):
+        inner = [_numbers(value.getField(f.name), f.dataType) for f in _sorted_fields(kind) if _floats(f.dataType)]
+        found = F.concat(*inner)
+    elif isinstance(kind, t.ArrayType):
+        found = F.flatten(F.transform(value, lambda x: _numbers(x, kind.elementType)))
+    elif isinstance(kind, t.MapType):
+        found = F.flatten(F.transform(_entries(value), lambda e: _numbers(e["value"], kind.valueType)))
+    else:
+        found = F.array(value.cast("double"))
+    return F.when(value.isNull(), F.array().cast("array<double>")).otherwise(found)
+
+
+def _text(value: Column, kind: t.DataType) -> Column:
+    return F.when(value.isNull(), "null").otherwise(_present(value, kind))
 
 
 def _present(value: Column, kind: t.DataType) -> Column:
     if isinstance(kind, t.StringType):
         return quoted(value)
     if isinstance(kind, (t.DoubleType, t.FloatType)):
-        return floating(value)
+        return F.lit(_HOLE)
     if isinstance(kind, (t.IntegralType, t.BooleanType)):
         return value.cast("string")
     if isinstance(kind, t.ArrayType):
-        return F.concat(F.lit("["), _joined(F.transform(value, lambda x: canonical_json(x, kind.elementType))), F.lit("]"))
+        return F.concat(F.lit("["), F.array_join(F.transform(value, lambda x: _text(x, kind.elementType)), ","), F.lit("]"))
     if isinstance(kind, t.MapType):
-        entry = lambda e: F.concat(quoted(e["key"]), F.lit(":"), canonical_json(e["value"], kind.valueType))
-        sorted_keys = F.array_sort(F.map_keys(value))
-        entries = F.transform(sorted_keys, lambda k: F.struct(k.alias("key"), F.element_at(value, k).alias("value")))
-        return F.concat(F.lit("{"), _joined(F.transform(entries, entry)), F.lit("}"))
+        entries = F.transform(_entries(value), lambda e: F.concat(quoted(e["key"]), F.lit(":"), _text(e["value"], kind.valueType)))
+        return F.concat(F.lit("{"), F.array_join(entries, ","), F.lit("}"))
     if isinstance(kind, t.StructType):
-        fields = sorted(kind.fields, key=lambda f: f.name)
-        texts = [F.concat(quoted(F.lit(f.name)), F.lit(":"), canonical_json(value.getField(f.name), f.dataType)) for f in fields]
+        texts = [F.concat(quoted(F.lit(f.name)), F.lit(":"), _text(value.getField(f.name), f.dataType)) for f in _sorted_fields(kind)]
         commas = [part for text in texts for part in (F.lit(","), text)][1:]
         return F.concat(F.lit("{"), *commas, F.lit("}"))
     raise TypeError(f"no canonical JSON for {kind.simpleString()}")
