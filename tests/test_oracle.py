@@ -7,10 +7,10 @@ from pathlib import Path
 
 import pytest
 
-from narrata import oracle, oracle_artifacts, oracle_generation, queries, queries_artifacts, queries_cast, queries_generation  # noqa: F401
+from narrata import oracle, oracle_artifacts, oracle_chunks, oracle_generation, queries, queries_artifacts, queries_cast, queries_generation  # noqa: F401
 
 FOLDER = Path("/root/testdata/sf0.001")
-SQL = oracle.oracle_sql() | oracle_artifacts.oracle_sql() | oracle_generation.oracle_sql()
+SQL = oracle.oracle_sql() | oracle_artifacts.oracle_sql() | oracle_chunks.oracle_sql() | oracle_generation.oracle_sql()
 
 
 def rows(frame):
