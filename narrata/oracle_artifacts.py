@@ -349,6 +349,51 @@ select b.book_id, cast(1 + coalesce(v.n, 0) as integer) as n_cast, cast(coalesce
 from b join covered p using (book_id) left join v using (book_id) left join dup using (book_id) left join s using (book_id) group by b.book_id, v.n, dup.n, s.n, v.bad, dup.bad, s.bad"""
 
 
+
+_EDITED = f"""{_SPANS}, members as (
+  select book_id, cast_id, upper(left(cast_id, 1)) || substring(cast_id, 2) as label from (select book_id, speaker_id as cast_id from spans union select book_id, 'narrator' from spans)
+), books as (
+  select book_id, book_id % 12 as n, book_id % 13 = 12 as idle, book_id % 11 = 10 as stale, count(*) as turns, bool_or(speaker_id = 'user') as u, bool_or(speaker_id = 'assistant') as a from spans group by book_id
+), o as (
+  select *, case when idle then 'unchanged' when stale then 'STALE_REVISION' else case n when 0 then if(u, 'edited', 'UNKNOWN_CAST_ID') when 1 then if(u, 'edited', 'UNKNOWN_CAST_ID') when 2 then if(not u, 'UNKNOWN_CAST_ID', if(a, 'edited', 'UNKNOWN_ALIAS_ID'))
+    when 3 then if(u, 'edited', 'UNKNOWN_ALIAS_ID') when 4 then if(a, 'edited', 'UNKNOWN_CAST_ID') when 5 then if(a and u, 'edited', 'UNKNOWN_CAST_ID') when 6 then if(turns < 2, 'UNKNOWN_SPAN_ID', if(u, 'edited', 'UNKNOWN_CAST_ID'))
+    when 7 then 'edited' when 8 then 'CANNOT_REMOVE_NARRATOR' when 9 then 'CANNOT_MERGE_SELF' when 10 then 'UNKNOWN_SPAN_ID' else 'INVALID_EDIT' end end as outcome from books
+), e as (select *, case when outcome = 'edited' then n else -1 end as d from o),
+cast_after as (
+  select book_id, cast_id as k, cast_id || ':' || case when d = 0 and cast_id = 'user' then 'The Reader' else label end || ':' || case when cast_id = 'narrator' then 'third_person' when d = 1 and cast_id = 'user' then 'same_as_narrator' else 'separate_from_narrator' end
+    || ':v-' || case when d = 1 and cast_id = 'user' then 'narrator' else cast_id end || ':' || case when d = 1 and cast_id = 'user' then '1.5' else '1.0' end as line from members join e using (book_id) where not (d in (4, 5) and cast_id = 'assistant')
+  union all select book_id, '~', 'character-New-One:New One:separate_from_narrator:v-narrator:1.0' from e where d = 3
+), names_after as (
+  select book_id, cast_id as k, 'alias-' || cast_id || ':' || case when d = 2 and cast_id = 'assistant' then 'user' when d = 3 and cast_id = 'user' then 'character-New-One' when d = 5 and cast_id = 'assistant' then 'user' else cast_id end as line
+  from members join e using (book_id) where cast_id <> 'narrator' and not (d = 4 and cast_id = 'assistant')
+), spans_after as (
+  select book_id, chapter_index, source_start, source_end, span_id, case when d = 4 and speaker_id = 'assistant' then span_id || ':' || type || ':narrator:speaker:assistant:narrator:user:cast_removed'
+    when d = 5 and speaker_id = 'assistant' then span_id || ':' || type || ':user:speaker:assistant:user:user:cast_merged' when d = 6 and ordinal = 1 then span_id || ':' || type || ':user:speaker:' || speaker_id || ':user:user:heard'
+    when d = 7 and ordinal = 0 then span_id || ':unknown:narrator:type:' || type || ':unknown:tool:odd' else span_id || ':' || type || ':' || speaker_id end as line from spans join e using (book_id)
+)"""
+R02_EDITED_PLANS = f"""with {_EDITED}
+select e.book_id, outcome, case when outcome = 'edited' then 3 else 2 end as revision, case when outcome = 'edited' or e.book_id % 2 = 1 then 'draft' else 'approved' end as state,
+  (select string_agg(line, '|' order by k) from cast_after c where c.book_id = e.book_id) as cast, coalesce((select string_agg(line, '|' order by k) from names_after c where c.book_id = e.book_id), '') as aliases,
+  (select sha256(string_agg(line, '|' order by chapter_index, source_start, source_end, span_id)) from spans_after c where c.book_id = e.book_id) as spans_sha256, '' as rule from e"""
+
+R09_APPROVED_PLANS = f"""with {_SPANS}, t as (
+  select book_id, book_id % 2 = 1 as draft, book_id % 4 < 2 and source_end = max(source_end) over (partition by book_id) as is_open, source_end <= source_start as bad from spans
+), b as (select book_id, any_value(draft) as draft, count(*) filter (is_open) as n_open, count(*) filter (bad) as n_bad from t group by book_id),
+o as (select *, case when n_bad > 0 then 'INVALID_RANGE' when not draft and n_open > 0 then 'UNRESOLVED_SPANS' when not draft then 'unchanged' when n_open > 0 and book_id % 3 <> 0 then 'UNRESOLVED_SPANS' else 'approved' end as outcome from b)
+select book_id, outcome, case when not draft or outcome = 'approved' then 'approved' else 'draft' end as state, case when outcome = 'approved' then '2026-02-03T04:05:06Z' when not draft then '2026-01-02T03:04:05Z' else '' end as approved_at,
+  case when not draft or outcome = 'approved' then 2 else 0 end as approved_revision, outcome = 'approved' and n_open > 0 as accepted, n_bad + case when draft then 0 else n_open end as n_broken from o"""
+
+A07_PLAN_REVIEW = f"""with {_SPANS}, t as (
+  select s.* replace (case when book_id % 13 = 6 and source_end = max(source_end) over (partition by book_id) then 'unknown' else type end as type), book_id % 13 as kind, max(chapter_index) over (partition by book_id) as chapters from spans s
+), h as (
+  select book_id, count(*) as n, count(*) filter (band = 'low') as n_low, count(*) filter (band = 'medium') as n_medium, count(*) filter (band = 'high') as n_high, count(*) filter (type = 'unknown') as unresolved, count(*) filter (kind = 8 and ordinal = 0) as overrides
+  from t where not (kind = 5 and ordinal = 0) and not (kind = 4 and chapter_index = chapters) group by book_id
+), m as (select book_id, count(*) as n from (select book_id, speaker_id as c from spans union select book_id, 'narrator' from spans) where c <> 'narrator' or book_id % 13 <> 1 group by book_id)
+select m.book_id, cast(m.n as integer) as cast_count, cast(coalesce(h.n, 0) as integer) as span_count, cast(coalesce(n_low, 0) as integer) as n_low, cast(coalesce(n_medium, 0) as integer) as n_medium, cast(coalesce(n_high, 0) as integer) as n_high,
+  cast(coalesce(unresolved, 0) as integer) as unresolved_count, cast(coalesce(overrides, 0) as integer) as override_count, 0 as speaker_not_cast_count, 0 as voice_collision_count, 2 as revision, case when m.book_id % 2 = 1 then 'draft' else 'approved' end as approval_state
+from m left join h using (book_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL by query name."""
     return {name.lower(): sql for name, sql in globals().items() if name[0] != "_" and name.isupper() and isinstance(sql, str)}

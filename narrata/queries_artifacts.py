@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from narrata.operators import artifact_rules, candidates, chapters, digests, pages, plan_rules, voice_plans
+from narrata.plans import edits
 from narrata.queries import _registered
 from narrata.sources import tables
 
@@ -288,11 +289,10 @@ def v06_analysis_violations(spark: SparkSession, folder: str) -> DataFrame:
     return plan_rules.first_violations(artifact_rules.analysis_violations(stale, now, parts))
 
 
-@_registered
-def v08_voice_plan_violations(spark: SparkSession, folder: str) -> DataFrame:
-    """Voice plans with one fault a book, by its id; odd books are drafts."""
+def _voice_plans(spark: SparkSession, folder: str, kind: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Voice plans with the fault of their kind (0: none), what they are bound to, and chapters; odd books are drafts."""
     bindings, parts = _bindings(spark, folder)
-    kind, draft = F.col("book_id") % 13, F.col("book_id") % 2 == 1
+    draft = F.col("book_id") % 2 == 1
     s = tables.spans(spark, folder)
     members = s.select("book_id", F.col("speaker_id").alias("cast_id")).union(s.select("book_id", F.lit("narrator"))).distinct().where((F.col("cast_id") != "narrator") | (kind != 1))
     own = F.col("cast_id") == "narrator"
@@ -307,7 +307,7 @@ def v08_voice_plan_violations(spark: SparkSession, folder: str) -> DataFrame:
     last = F.col("source_end") == F.max("source_end").over(Window.partitionBy("book_id"))
     override = F.struct(F.lit("speaker").alias("kind"), F.lit("user").alias("from"), F.lit("x").alias("to"), F.lit("user").alias("actor"), F.lit("review").alias("reason"))
     told = s.withColumns({
-        "type": F.when((kind == 6) & last, "unknown").otherwise(F.col("type")), "speaker_id": F.when((kind == 7) & first, F.lit(None)).otherwise(F.col("speaker_id")),
+        "type": F.when(kind.isin(6, 14) & last, "unknown").otherwise(F.col("type")), "speaker_id": F.when((kind == 7) & first, F.lit(None)).when((kind == 14) & last, "narrator").otherwise(F.col("speaker_id")),
         "override": F.when((kind == 8) & first, override),
     })
     span = F.struct("source_start", "source_end", "span_id", "type", "speaker_id", F.struct(_band_score().alias("score"), "band", F.array("band").alias("reasons")).alias("confidence"), F.struct(F.lit("turns").alias("source"), F.lit(3).alias("analysis_revision")).alias("provenance"), "override")
@@ -327,8 +327,56 @@ def v08_voice_plan_violations(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(1).alias("chapter_plan_schema_version"), _analyzer().alias("analyzer"), "cast", "aliases", kept.alias("chapters"),
         F.struct(F.lit("narrator").alias("mode"), F.lit(False).alias("accepted_by_user"), nothing.alias("accepted_at")).alias("unresolved_policy"), approval.alias("approval"),
     )
-    hashed = digests.with_artifact_hash(made, artifact_rules.VOICE_PLAN_FIELDS)
-    return plan_rules.first_violations(artifact_rules.voice_plan_violations(hashed, bindings, parts))
+    return digests.with_artifact_hash(made, artifact_rules.VOICE_PLAN_FIELDS), bindings, parts
+
+
+@_registered
+def v08_voice_plan_violations(spark: SparkSession, folder: str) -> DataFrame:
+    """Voice plans with one fault a book, by its id."""
+    return plan_rules.first_violations(artifact_rules.voice_plan_violations(*_voice_plans(spark, folder, F.col("book_id") % 13)))
+
+
+def _edits(spark: SparkSession, folder: str) -> DataFrame:
+    """An edit for most books, its kind by the book's id; some at an old revision, some of what isn't there."""
+    kinds = [
+        {"kind": "rename_cast", "cast_id": "user", "label": "The Reader"}, {"kind": "assign_cast", "cast_id": "user", "relationship": "same_as_narrator", "speed": 1.5}, {"kind": "merge_aliases", "cast_id": "user", "alias_ids": ["alias-assistant"]},
+        {"kind": "split_aliases", "alias_ids": ["alias-user"], "label": "New One"}, {"kind": "remove_cast", "cast_id": "assistant"}, {"kind": "merge_cast", "cast_id": "assistant", "target_id": "user"}, {"kind": "override_speaker", "span_id": "span-00001", "to_value": "user", "reason": "heard"},
+        {"kind": "override_type", "span_id": "span-00000", "to_value": "unknown", "actor": "tool", "reason": "odd"}, {"kind": "remove_cast", "cast_id": "narrator"}, {"kind": "merge_cast", "cast_id": "user", "target_id": "user"}, {"kind": "override_type", "span_id": "none", "to_value": "song"}, {"kind": "odd"},
+    ]
+    table = spark.createDataFrame([(n, *(k.get(f.split(" ")[0]) for f in edits.EDIT.split(", "))) for n, k in enumerate(kinds)], f"n int, {edits.EDIT}")
+    books = tables.spans(spark, folder).select("book_id").distinct().where("book_id % 13 <> 12")
+    named = books.select("book_id", (F.col("book_id") % len(kinds)).cast("int").alias("n"), F.when(F.col("book_id") % 11 == 10, 1).otherwise(2).alias("expected_revision"))
+    return named.join(F.broadcast(table), "n").drop("n")  # a dozen rows
+
+
+@_registered
+def r02_edited_plans(spark: SparkSession, folder: str) -> DataFrame:
+    plans, _, _ = _voice_plans(spark, folder, F.lit(0))
+    found = edits.edited(plans, _edits(spark, folder))
+    cast = F.transform("cast", lambda c: F.concat_ws(":", c["cast_id"], c["display_label"], c["relationship"], c["voice_id"], c["voice_settings"]["speed"].cast("string")))
+    names = F.transform("aliases", lambda a: F.concat_ws(":", a["alias_id"], a["character_id"]))
+    spans = F.transform(F.flatten(F.transform("chapters", lambda c: c["spans"])), lambda s: F.concat_ws(":", s["span_id"], s["type"], s["speaker_id"], s["override"]["kind"], s["override"]["from"], s["override"]["to"], s["override"]["actor"], s["override"]["reason"]))
+    right = digests.hash_violations(found, ["book_id"], artifact_rules.VOICE_PLAN_FIELDS)
+    told = found.select("book_id", "outcome", "revision", F.col("approval.state").alias("state"), F.array_join(cast, "|").alias("cast"), F.array_join(names, "|").alias("aliases"), F.sha2(F.array_join(spans, "|"), 256).alias("spans_sha256"))
+    return told.join(right, "book_id", "left").withColumn("rule", F.coalesce("rule", F.lit("")))
+
+
+@_registered
+def r09_approved_plans(spark: SparkSession, folder: str) -> DataFrame:
+    """Plans whose last span is unknown: approved ones break a rule, drafts need the narrator, whom every third book accepts."""
+    plans, bindings, parts = _voice_plans(spark, folder, F.when(F.col("book_id") % 4 < 2, 14).otherwise(0))
+    broken = artifact_rules.voice_plan_violations(plans, bindings, parts)
+    found = edits.approved(plans, broken, plans.where("book_id % 3 = 0").select("book_id"), "2026-02-03T04:05:06Z")
+    after = artifact_rules.voice_plan_violations(found.drop("outcome"), bindings, parts).groupBy("book_id").agg(F.count(F.lit(1)).alias("n_broken"))
+    told = found.select("book_id", "outcome", F.col("approval.state").alias("state"), F.coalesce("approval.approved_at", F.lit("")).alias("approved_at"), F.coalesce("approval.approved_revision", F.lit(0)).alias("approved_revision"), F.col("unresolved_policy.accepted_by_user").alias("accepted"))
+    return told.join(after, "book_id", "left").withColumn("n_broken", F.coalesce("n_broken", F.lit(0)))
+
+
+@_registered
+def a07_plan_review(spark: SparkSession, folder: str) -> DataFrame:
+    return edits.review(_voice_plans(spark, folder, F.col("book_id") % 13)[0])
+
+
 
 
 VOICES, LEAST_SPOKEN = ["af_one", "am_two", "bf_three", "bm_four"], 2
