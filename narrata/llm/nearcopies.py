@@ -29,6 +29,8 @@ SEGMENTS, BITS, BALL = 24, 28, 3
 MOST_BITS = 138
 #: Texts of a ball point up to which each pair is a candidate at once.
 CROWD = 4
+#: Lists that the points of a crowded text are dealt into.
+LISTS = 8
 #: Rows of hashes and ids, a few dozen bytes each, up to which a side of a join is broadcast.
 BROADCAST_ROWS = 200_000
 #: Shingles whose bits are counted at a time.
@@ -183,7 +185,9 @@ def _connected(nodes: DataFrame, texts: DataFrame, crowd: int) -> DataFrame:
     if many.isEmpty():
         return roots
     facts = _labelled(_sharable(many, sets), roots)
-    rows = cut(many.select("node", "point").join(facts, "node"))
+    # A text's points go along as a few lists, so that what is known of it is joined to those and not to each point.
+    listed = many.groupBy("node", F.pmod("point", F.lit(LISTS)).alias("list")).agg(F.collect_list("point").alias("points"))
+    rows = cut(listed.join(bounded_broadcast(cut(facts), BROADCAST_ROWS), "node").select(F.explode("points").alias("point"), *facts.columns))
     of_root = rows.groupBy("point", "root").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("size"))
     main = of_root.groupBy("point").agg(F.max(F.struct("n", "root")).alias("m"), F.count(F.lit(1)).alias("roots"), F.min("size").alias("least_size"))
     main = main.where("roots > 1").select(F.col("point").alias("m_point"), F.col("m.root").alias("m_root"), "least_size")
