@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from narrata.oracle import _CLEAN, _LATIN, _PLAN, _SPANS, _count, _strip
+from narrata.oracle import _CLEAN, _LATIN, _PAGES, _PLAN, _SPANS, _count, _strip
+from narrata.oracle import F03_PAGE_COVERAGE as _F03
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -394,6 +395,13 @@ select m.book_id, cast(m.n as integer) as cast_count, cast(coalesce(h.n, 0) as i
 from m left join h using (book_id)"""
 
 
+
+F03_DAMAGED_PAGES = _F03.replace(f"with {_PAGES},", f"""with {_PAGES},
+changed as (
+  select book_id, number, case when (book_id % 5 = 1 and number % 7 = 0) or book_id % 5 = 3 then '' when (book_id % 5 = 2 and number = 2) or (book_id % 10 = 4 and number % 2 = 0) then '漢字' when book_id % 5 = 0 and number % 7 = 0 then 'only two' else text end as text from pages
+),""").replace("as words from pages)", "as words from changed)")
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL by query name."""
     return {name.lower(): sql for name, sql in globals().items() if name[0] != "_" and name.isupper() and isinstance(sql, str)}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from narrata.functions import text as T
 from narrata.operators import accuracy, chapters, facts, pages, progress, spans, timeline
 from narrata.sources import tables
+from narrata.sources.shared import stored
 
 #: Samples a second of the deterministic test voice.
 RATE = 24_000
@@ -70,7 +71,7 @@ def f03_page_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _plan(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    cleaned = pages.clean_pages(tables.pages(spark, folder))
+    cleaned = stored(pages.clean_pages(tables.pages(spark, folder)))
     books = pages.cleaned_books(cleaned)
     return chapters.original_plan(chapters.heading_candidates(cleaned), books), books
 
@@ -95,8 +96,9 @@ def r01_rename_chapters(spark: SparkSession, folder: str) -> DataFrame:
 
 @_registered
 def j02_page_at(spark: SparkSession, folder: str) -> DataFrame:
-    plan, _ = _plan(spark, folder)
-    mapping = pages.clean_pages(tables.pages(spark, folder)).select("book_id", F.col("number").alias("source_page"), "cleaned_start", "cleaned_end")
+    cleaned = stored(pages.clean_pages(tables.pages(spark, folder)))
+    plan = chapters.original_plan(chapters.heading_candidates(cleaned), pages.cleaned_books(cleaned))
+    mapping = cleaned.select("book_id", F.col("number").alias("source_page"), "cleaned_start", "cleaned_end")
     return spans.page_at(plan.select("book_id", (F.col("end_offset") - 1).alias("offset")).distinct(), mapping)
 
 

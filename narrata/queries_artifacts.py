@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from narrata.functions import text as T
 from narrata.operators import artifact_rules, candidates, chapters, digests, pages, plan_rules, voice_plans
 from narrata.plans import edits
 from narrata.queries import _registered
 from narrata.sources import tables
+from narrata.sources.shared import stored
 
 #: What an analysis artifact covers, besides its key.
 ANALYSIS = ("schema_version", "artifact", "revision", "title", "analyzer", "spans", "warnings")
@@ -137,15 +139,15 @@ def j17_moved_audio(spark: SparkSession, folder: str) -> DataFrame:
 
 def _documents(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Cleaned pages, books and the map of pages."""
-    cleaned = pages.clean_pages(tables.pages(spark, folder))
+    cleaned = stored(pages.clean_pages(tables.pages(spark, folder)))
     mapping = cleaned.select("book_id", F.col("number").alias("source_page"), "cleaned_start", "cleaned_end")
-    return cleaned, pages.cleaned_books(cleaned), mapping
+    return cleaned, stored(pages.cleaned_books(cleaned)), mapping
 
 
 def _plan_artifacts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     cleaned, books, mapping = _documents(spark, folder)
     plan = chapters.original_plan(chapters.heading_candidates(cleaned), books)
-    return chapters.plan_artifacts(plan, books, mapping), books, mapping
+    return stored(chapters.plan_artifacts(plan, books, mapping)), books, mapping
 
 
 @_registered
@@ -236,7 +238,7 @@ def _bindings(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     plans = parts.groupBy("book_id").agg(F.lit(1).alias("schema_version"), F.array_sort(F.collect_list(chapter)).alias("chapters"))
     hashed = plans.select("book_id", digests.digest(plans, ["schema_version", "chapters"], newline=True).alias("current_plan_sha256"), F.size("chapters").alias("n_chapters"))
     now = books.select("book_id", F.sha2(F.concat(F.lit("pdf "), "text"), 256).alias("source_pdf_sha256"), F.sha2("text", 256).alias("cleaned_text_sha256")).join(hashed, "book_id")
-    return now.withColumn("chapter_plan_sha256", F.col("current_plan_sha256")), parts
+    return stored(now.withColumn("chapter_plan_sha256", F.col("current_plan_sha256"))), stored(parts)
 
 
 def _analyzer() -> Column:
@@ -284,7 +286,7 @@ def v06_analysis_violations(spark: SparkSession, folder: str) -> DataFrame:
         F.when(kind == 10, F.array(F.lit("a\tb"))).otherwise(F.array(F.lit("ok"))).alias("warnings"), F.when(kind == 9, 1).alias("chapter_start"), F.when(kind == 9, 1).alias("chapter_end"),
     )
     hashed = digests.with_artifact_hash(made, artifact_rules.ANALYSIS_FIELDS)
-    stale = hashed.withColumn("warnings", F.when(kind == 11, F.array(F.lit("later"))).otherwise(F.col("warnings")))
+    stale = stored(hashed).withColumn("warnings", F.when(kind == 11, F.array(F.lit("later"))).otherwise(F.col("warnings")))
     now = bindings.withColumn("current_plan_sha256", F.when(kind == 10, F.lit("other")).otherwise(F.col("current_plan_sha256")))
     return plan_rules.first_violations(artifact_rules.analysis_violations(stale, now, parts))
 
@@ -327,7 +329,7 @@ def _voice_plans(spark: SparkSession, folder: str, kind: Column) -> tuple[DataFr
         F.lit(1).alias("chapter_plan_schema_version"), _analyzer().alias("analyzer"), "cast", "aliases", kept.alias("chapters"),
         F.struct(F.lit("narrator").alias("mode"), F.lit(False).alias("accepted_by_user"), nothing.alias("accepted_at")).alias("unresolved_policy"), approval.alias("approval"),
     )
-    return digests.with_artifact_hash(made, artifact_rules.VOICE_PLAN_FIELDS), bindings, parts
+    return stored(digests.with_artifact_hash(made, artifact_rules.VOICE_PLAN_FIELDS)), bindings, parts
 
 
 @_registered
@@ -352,7 +354,7 @@ def _edits(spark: SparkSession, folder: str) -> DataFrame:
 @_registered
 def r02_edited_plans(spark: SparkSession, folder: str) -> DataFrame:
     plans, _, _ = _voice_plans(spark, folder, F.lit(0))
-    found = edits.edited(plans, _edits(spark, folder))
+    found = stored(edits.edited(plans, _edits(spark, folder)))
     cast = F.transform("cast", lambda c: F.concat_ws(":", c["cast_id"], c["display_label"], c["relationship"], c["voice_id"], c["voice_settings"]["speed"].cast("string")))
     names = F.transform("aliases", lambda a: F.concat_ws(":", a["alias_id"], a["character_id"]))
     spans = F.transform(F.flatten(F.transform("chapters", lambda c: c["spans"])), lambda s: F.concat_ws(":", s["span_id"], s["type"], s["speaker_id"], s["override"]["kind"], s["override"]["from"], s["override"]["to"], s["override"]["actor"], s["override"]["reason"]))
@@ -366,7 +368,7 @@ def r09_approved_plans(spark: SparkSession, folder: str) -> DataFrame:
     """Plans whose last span is unknown: approved ones break a rule, drafts need the narrator, whom every third book accepts."""
     plans, bindings, parts = _voice_plans(spark, folder, F.when(F.col("book_id") % 4 < 2, 14).otherwise(0))
     broken = artifact_rules.voice_plan_violations(plans, bindings, parts)
-    found = edits.approved(plans, broken, plans.where("book_id % 3 = 0").select("book_id"), "2026-02-03T04:05:06Z")
+    found = stored(edits.approved(plans, broken, plans.where("book_id % 3 = 0").select("book_id"), "2026-02-03T04:05:06Z"))
     after = artifact_rules.voice_plan_violations(found.drop("outcome"), bindings, parts).groupBy("book_id").agg(F.count(F.lit(1)).alias("n_broken"))
     told = found.select("book_id", "outcome", F.col("approval.state").alias("state"), F.coalesce("approval.approved_at", F.lit("")).alias("approved_at"), F.coalesce("approval.approved_revision", F.lit(0)).alias("approved_revision"), F.col("unresolved_policy.accepted_by_user").alias("accepted"))
     return told.join(after, "book_id", "left").withColumn("n_broken", F.coalesce("n_broken", F.lit(0)))
@@ -412,7 +414,7 @@ def _listed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _members(spark: SparkSession, folder: str) -> DataFrame:
-    return voice_plans.with_voices(voice_plans.cast_members(_listed(spark, folder), _speech(spark, folder), LEAST_SPOKEN), VOICES)
+    return stored(voice_plans.with_voices(voice_plans.cast_members(_listed(spark, folder), stored(_speech(spark, folder)), LEAST_SPOKEN), VOICES))
 
 
 @_registered
@@ -450,8 +452,19 @@ def p06_draft_plans(spark: SparkSession, folder: str) -> DataFrame:
     """Whole drafts, and how many rules each breaks: only books with an empty turn or without a cast of two voices do."""
     bindings, parts = _bindings(spark, folder)
     members = _members(spark, folder)
-    plans = voice_plans.draft_plans(members, voice_plans.plan_aliases(members, _names(spark, folder).where("ord = 0")), _covered(spark, folder), parts, bindings, VOICES[0], "rules")
+    plans = stored(voice_plans.draft_plans(members, voice_plans.plan_aliases(members, _names(spark, folder).where("ord = 0")), _covered(spark, folder), parts, bindings, VOICES[0], "rules"))
     found = artifact_rules.voice_plan_violations(plans, bindings, parts).groupBy("book_id").agg(F.count(F.lit(1)).alias("n_broken"))
     spans = F.aggregate("chapters", F.lit(0), lambda n, c: n + F.size(c["spans"]))
     facts = plans.select("book_id", F.size("cast").alias("n_cast"), F.size("aliases").alias("n_aliases"), F.size("chapters").alias("n_chapters"), spans.alias("n_spans"))
     return facts.join(found, "book_id", "left").withColumn("n_broken", F.coalesce("n_broken", F.lit(0)))
+
+
+@_registered
+def f03_damaged_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Books with pages that can't be read: empty ones, some with images, pages in other scripts, and whole books without a word."""
+    kind, number = F.col("book_id") % 5, F.col("number")
+    odd = F.when(((kind == 1) & (number % 7 == 0)) | (kind == 3), "").when(((kind == 2) & (number == 2)) | ((F.col("book_id") % 10 == 4) & (number % 2 == 0)), "漢字").when((kind == 0) & (number % 7 == 0), "only two")
+    listed = tables.pages(spark, folder).withColumn("text", F.coalesce(odd, "text"))
+    worded = listed.withColumn("words", T.ascii_word_count(F.col("text")))
+    classed = worded.withColumn("classification", T.page_class(F.col("words"), F.col("number") % 7 == 0, F.col("text").rlike(r"\p{L}")))
+    return pages.coverage_violations(classed).select("book_id", "rule", F.array_join("pages", ",").alias("pages"))

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,6 +12,7 @@ from narrata.operators import boundaries, cast, chapters, chunks, offsets, rules
 from narrata.plans.revisions import OVERRIDE, Plan, collisions
 from narrata.queries import _plan, _registered
 from narrata.sources import tables
+from narrata.sources.shared import shared_folder, stored
 from narrata.streaming import resume
 
 #: Characters of a chunk, and the settings that chunk hashes cover.
@@ -263,8 +262,7 @@ def i01_resumed_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Turns as a stream of chunks, spoken by the test voice; the stream is run again and finds nothing to do."""
     from narrata.operators.timeline import spoken_frames
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="narrata-stream-")
-    base = f"{shared}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     tables.turns(spark, folder).select("text", F.sha2("text", 256).alias("input_hash")).write.parquet(f"{base}/in")
 
     def speak(rows: DataFrame) -> DataFrame:
