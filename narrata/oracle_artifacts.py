@@ -101,7 +101,7 @@ def _heading_start(text: str, at: str) -> str:
 
 T15_SENTENCE_STARTS = rf"""with b as (select doc_id as book_id, coalesce(text, '') as text from documents),
 stops as (
-  select book_id, text, i, text[i] as stop, substring(text, i + 1) as after from (select book_id, text, unnest(range(1, length(text) + 1)) as i from b) where text[i] in ('.', '!', '?')
+  select book_id, text, i, stop, substring(text, i + 1) as after from (select book_id, text, unnest(regexp_extract_all(text, '(?s).')) as stop, unnest(range(1, length(text) + 1)) as i from b) where stop in ('.', '!', '?')
 ), ended as (
   select book_id, i + length(regexp_extract(after, '^{_CLOSE}{_WS}*')) as pos, stop, reverse(regexp_extract(reverse(left(text, i - 1)), '^[\p{{L}}.]*')) as token from stops where regexp_matches(after, '^{_CLOSE}({_WS}|$)')
 ), blank as (

@@ -11,8 +11,8 @@ _CLOSE = r"""["''’”\])]*"""
 def _packed(cap: int) -> str:
     """Tables over ``pieces (id, text)``: ``taken (id, nth, a, b)``, the chunks of each text."""
     return rf"""
-letters as (select id, text, unnest(range(1, length(text) + 1)) as i from pieces),
-marked as (select id, i, text[i] as c, substring(text, i + 1) as after from letters where text[i] in ('.', '!', '?', chr(10))),
+letters as (select id, text, unnest(regexp_extract_all(text, '(?s).')) as c, unnest(range(1, length(text) + 1)) as i from pieces),
+marked as (select id, i, c, substring(text, i + 1) as after from letters where c in ('.', '!', '?', chr(10))),
 stops as (
   select id, i + length(regexp_extract(after, '^{_CLOSE}{_WS}*')) as pos from marked where c <> chr(10) and regexp_matches(after, '^{_CLOSE}({_WS}|$)')
   union select id, i + length(regexp_extract(after, '^{_WS}*')) from marked where c = chr(10) and regexp_matches(after, '^{_WS}*\n({_WS}|$)')
