@@ -11,10 +11,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from narrata.llm.common import column, cut
+from narrata.llm.common import bounded_broadcast, column, cut
 
 #: A line is removed from a host's documents if more distinct documents of the host hold it than this, however large the host.
 LINE_LIMIT = 10
+#: Ids that several rows have, up to which they are broadcast.
+BROADCAST_IDS = 200_000
 #: A document is depleted with fewer words left than this, or a smaller share of its words.
 WORDS_LEFT, SHARE_LEFT = 10, 0.2
 #: Base rules: least words, and the most percent of words that may lie in repeated windows.
@@ -115,15 +117,30 @@ def _without(lines: pd.Series, gone: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="object")
 
 
-def _rows(docs: DataFrame, others: list[Column], text_col: str, host_col: str) -> DataFrame:
-    """Per row ``others``, its host and its facts."""
+def _rows(docs: DataFrame, others: list[Column], id_col: str, text_col: str, host_col: str) -> DataFrame:
+    """Per row ``others``, its document's id as ``key``, its host and its facts."""
+    key = column(id_col).alias("key")
     host = F.coalesce(F.concat(F.lit("="), column(host_col).cast("string")), F.lit(""))
-    return cut(docs.select(*others, host.alias("host"), F.pandas_udf(_facts, _FACTS)(column(text_col)).alias("f")).select("*", "f.*").drop("f"))
+    return cut(docs.select(*others, key, host.alias("host"), F.pandas_udf(_facts, _FACTS)(column(text_col)).alias("f")).select("*", "f.*").drop("f"))
+
+
+def _held(rows: DataFrame) -> DataFrame:
+    """``(host, line, documents)``: in how many documents of a host a line stands, those of one id counted once.
+
+    Rows of an id of their own (or of none) are counted as they are, with pre-aggregation; only ids
+    that several rows have are brought together.
+    """
+    several = rows.where("key is not null").groupBy(F.col("key").alias("s_key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("s_key")
+    several = bounded_broadcast(cut(several), BROADCAST_IDS)
+    lines = rows.select("host", "key", F.explode("line_hashes").alias("line"))
+    alone = lines.join(several, F.col("key") == F.col("s_key"), "left_anti").groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents"))
+    shared = lines.join(several, F.col("key") == F.col("s_key"), "left_semi").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents"))
+    return alone.unionByName(shared).groupBy("host", "line").agg(F.sum("documents").alias("documents"))
 
 
 def _removed(rows: DataFrame, limit: int) -> DataFrame:
     """By host and text: the words of its common lines, and those lines' hashes."""
-    held = rows.select("host", F.explode("line_hashes").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents"))
+    held = _held(rows)
     common = held.where(F.col("documents") > limit).select(F.col("host").alias("common_host"), F.col("line").alias("common_line"))
     pairs = F.explode(F.arrays_zip(F.col("line_hashes").alias("line"), F.col("line_words").alias("words")))
     lines = rows.select("host", "text_hash", pairs.alias("x")).select("host", "text_hash", "x.line", "x.words").distinct()
@@ -147,7 +164,7 @@ def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Per document its counts, whether it fails the base rules, the words of common lines, and the verdict.
 
     A normalised line is common in a host if more than ``line_limit`` of the host's documents hold it;
-    each row is a document, copies of a text too. Words of common lines are removed; a document with
+    rows of one id are one document, rows without an id and copies of a text under other ids are documents each. Words of common lines are removed; a document with
     fewer than WORDS_LEFT words or less than SHARE_LEFT of its words left is depleted and rejected.
 
     Hot lines, hosts and copies: lines are counted with pre-aggregation, words removed are worked out
@@ -156,13 +173,13 @@ def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null and empty texts have zero counts and fail the base rules; null hosts are one host of their
     own; repeated rows give repeated results; extra columns are ignored.
     """
-    found = _judged(_rows(docs, [column(id_col).alias("doc_id")], text_col, host_col), line_limit)
+    found = _judged(_rows(docs, [column(id_col).alias("doc_id")], id_col, text_col, host_col), line_limit)
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "kept")
 
 
-def cleaned_documents(docs: DataFrame, text_col: str = "text", host_col: str = "source", line_limit: int = LINE_LIMIT) -> DataFrame:
+def cleaned_documents(docs: DataFrame, text_col: str = "text", host_col: str = "source", line_limit: int = LINE_LIMIT, id_col: str = "doc_id") -> DataFrame:
     """``docs`` without common lines in their texts and without the documents that :func:`line_rules` rejects; all columns stay."""
-    rows = _rows(docs, [F.struct(*map(column, docs.columns)).alias("row")], text_col, host_col)
+    rows = _rows(docs, [F.struct(*map(column, docs.columns)).alias("row")], id_col, text_col, host_col)
     kept = _judged(rows, line_limit).where("kept")
     cleaned = F.pandas_udf(_without, "string")(F.col("row")[text_col], F.col("gone"))
     return kept.select(*(cleaned.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))

@@ -50,3 +50,12 @@ def test_odd_rows_have_defined_results(spark):
     assert len(got) == 15 and all(r["base_failed"] and not r["kept"] for r in got if r["n_words"] < 10)
     assert linerules.line_rules(no_docs(spark)).count() == linerules.cleaned_documents(no_docs(spark)).count() == 0
     assert all(len(r["text"].split()) >= 10 for r in linerules.cleaned_documents(odd_docs(spark)).collect())
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    """A dozen rows of one id and one of another are two documents, fewer than the limit; as many ids are more; rows without an id are documents each."""
+    line, own = "a line that stands in many of these documents here", "only {} has these words of its own in it today"
+    rows = [(1, f"{line}\n{own.format(n)}", "en", "one") for n in range(12)] + [(2, f"{line}\n{own.format(99)}", "en", "one")]
+    rows += [(n, f"{line}\n{own.format(n)}", "en", "two") for n in range(3, 16)] + [(None, f"{line}\n{own.format(n)}", "en", "three") for n in range(13)]
+    got = linerules.line_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert all((r["n_removed_words"] == 0) == (r["doc_id"] in (1, 2)) for r in got) and len(got) == len(rows)
