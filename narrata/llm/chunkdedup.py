@@ -121,8 +121,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     places = all_chunks.join(repeated, (F.col("high") == F.col("r_high")) & (F.col("low") == F.col("r_low")))
     own = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_hash") == F.col("text_hash")) & (F.col("first.start") == F.col("start"))
     marked = places.select("doc_id", "text_hash", "start", "size", F.col("first.doc_id").alias("first_id"), (~own).alias("elsewhere"))
-    # Dealt out by document, for the count of equal rows as for the windows.
-    once = marked.repartition("doc_id", "text_hash").groupBy("doc_id", "text_hash", "start", "size", "first_id", "elsewhere").agg(F.count(F.lit(1)).alias("n_rows"))
+    # Equal rows are counted before they are dealt out by document, however many there are.
+    once = marked.groupBy("doc_id", "text_hash", "start", "size", "first_id", "elsewhere").agg(F.count(F.lit(1)).alias("n_rows"))
     once = once.withColumn("end", F.col("start") + F.col("size"))
     in_doc = Window.partitionBy("doc_id", "text_hash").orderBy("start")
     before = F.max("end").over(in_doc.rowsBetween(Window.unboundedPreceding, -1))

@@ -93,3 +93,13 @@ def test_odd_rows_have_defined_results(spark):
     assert chunkdedup.repeated_passages(no_docs(spark)).count() == 0
     assert chunkdedup.deduplicated_texts(odd_docs(spark)).count() == 15
     assert chunkdedup.deduplicated_texts(no_docs(spark)).count() == 0
+
+
+def test_equal_rows_are_counted_before_they_are_dealt_out(spark):
+    """A great many rows equal in id and text come together as counts, not as rows."""
+    text = "some passage that is long enough to be cut into several chunks, " * 8
+    docs = spark.createDataFrame([(None, text)] * 300 + [(1, text)], "doc_id long, text string").repartition(4)
+    found = chunkdedup.repeated_passages(docs)
+    assert {(r["doc_id"], r["n_rows"]) for r in found.collect()} == {(None, 300), (1, 1)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" not in plan
