@@ -92,6 +92,26 @@ select book_id, outcome, case when outcome = 'configured' then 'planned' else st
   array_to_string(case when outcome = 'configured' then list_filter(done, lambda x: x < new_total) else done end, ',') as completed_chunks from o"""
 
 
+
+_RUNS = """runs as (
+  select user_id as group_id, event_id as run_id, case when event_id % 50 = 3 then -1 else ms end as generation_ms, ms * 3 + 7 as cpu_ms, ms + event_id % 5 as wall_ms, case when event_id % 40 = 1 then 0 else event_id % 977 + 1 end as audio_ms,
+    case when user_id % 10 <> 4 then 8 end as cores from (select *, cast(floor(abs(value) * 1000) as bigint) as ms from events)
+)"""
+_MEASURES = "coalesce(case when generation_ms >= 0 and audio_ms > 0 then generation_ms / audio_ms end, -1) as rtf, coalesce(case when wall_ms > 0 then cpu_ms / (wall_ms * cores) end, -1) as utilisation"
+M01_RUN_MEASURES = f"with {_RUNS} select run_id, {_MEASURES} from runs"
+A18_RUN_AVERAGES = f"""with {_RUNS}, s as (
+  select group_id, count(*) as runs, max(cores) as cores, cast(sum(generation_ms) as bigint) as generation_ms, cast(sum(cpu_ms) as bigint) as cpu_ms, cast(sum(wall_ms) as bigint) as wall_ms, cast(sum(audio_ms) as bigint) as audio_ms
+  from runs where generation_ms >= 0 group by group_id)
+select group_id, runs, generation_ms / runs / 1000.0::double as generation_seconds, cpu_ms / runs / 1000.0::double as cpu_seconds, audio_ms / runs / 1000.0::double as audio_seconds, {_MEASURES} from s"""
+U03_CORPUS_DIFFERENCES = """with d as (select doc_id as book_id from documents)
+select book_id, 'missing_predictions' as rule from d where book_id % 17 = 5 and book_id % 11 <> 3 union all select book_id, 'unknown_book' from d where book_id % 11 = 3 and book_id % 17 <> 5
+union all select book_id, 'text' from d where book_id % 17 <> 5 and book_id % 11 <> 3 and book_id % 13 = 2 union all select book_id, 'cast' from d where book_id % 17 <> 5 and book_id % 11 <> 3 and book_id % 19 = 4"""
+A16_ORDERED_VOICES = f"""with {_SPANS}, v as (select book_id, role || '-' || (ordinal % (book_id % 3 + 1)) as voice_id, min(ordinal) as first from turns group by all)
+select book_id, string_agg(voice_id, ',' order by first) as voice_ids from v group by book_id"""
+A20_CAPPED_WARNINGS = """select doc_id as book_id, sha256(array_to_string(l[1:7], chr(10))) as listed_sha256, cast(len(l) as integer) as total, len(l) > 7 as truncated from (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents)"""
+O06_SHORT_SAMPLES = r"""select doc_id as book_id, sha256(array_to_string((regexp_extract_all(coalesce(text, ''), '[^\s\p{Z}\x0b\x1c-\x1f\x85]+'))[1:220], ' ')) as sample_sha256 from documents"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL by query name."""
     return {name.lower(): sql for name, sql in globals().items() if name[0] != "_" and name.isupper() and isinstance(sql, str)}

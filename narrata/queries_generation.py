@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 from narrata.functions.text import chunk_path
-from narrata.operators import generation, intake, offsets, scope
+from narrata.operators import generation, intake, measures, offsets, scope
 from narrata.queries import _registered
 from narrata.queries_cast import _tokens
 from narrata.sources import tables
@@ -231,3 +231,50 @@ def r14_configured_interactive(spark: SparkSession, folder: str) -> DataFrame:
     return generation.configured_interactive(_jobs(spark, folder)).withColumn("completed_chunks", F.array_join(F.transform("completed_chunks", lambda c: c["global_index"].cast("string")), ","))
 
 
+def _runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as measured runs of a user: their value decides the times; some have no sound, some no known cores."""
+    e = tables.read(spark, folder, "events")
+    ms = F.floor(F.abs(F.col("value")) * 1000).cast("long")
+    return e.select(
+        F.col("user_id").alias("group_id"), F.col("event_id").alias("run_id"), F.when(F.col("event_id") % 50 == 3, -1).otherwise(ms).alias("generation_ms"), (ms * 3 + 7).alias("cpu_ms"), (ms + F.col("event_id") % 5).alias("wall_ms"),
+        F.when(F.col("event_id") % 40 == 1, 0).otherwise(F.col("event_id") % 977 + 1).alias("audio_ms"), F.when(F.col("user_id") % 10 != 4, 8).alias("cores"),
+    )
+
+
+@_registered
+def m01_run_measures(spark: SparkSession, folder: str) -> DataFrame:
+    return measures.run_measures(_runs(spark, folder)).select("run_id", F.coalesce("rtf", F.lit(-1.0)).alias("rtf"), F.coalesce("utilisation", F.lit(-1.0)).alias("utilisation"))
+
+
+@_registered
+def a18_run_averages(spark: SparkSession, folder: str) -> DataFrame:
+    found = measures.run_averages(_runs(spark, folder).where("generation_ms >= 0"), "group_id")
+    return found.select("group_id", "runs", "generation_seconds", "cpu_seconds", "audio_seconds", F.coalesce("rtf", F.lit(-1.0)).alias("rtf"), F.coalesce("utilisation", F.lit(-1.0)).alias("utilisation"))
+
+
+@_registered
+def u03_corpus_differences(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as two corpora: each lacks some books, some texts differ, and some speakers."""
+    d = tables.read(spark, folder, "documents").select(F.col("doc_id").alias("book_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text"), F.coalesce("source", F.lit("")).alias("cast"))
+    other = d.where("book_id % 17 <> 5").withColumns({"text": F.when(F.col("book_id") % 13 == 2, "changed").otherwise(F.col("text")), "cast": F.when(F.col("book_id") % 19 == 4, F.lit(None)).otherwise(F.col("cast"))})
+    return measures.corpus_differences(d.where("book_id % 11 <> 3"), other, ["text", "cast"])
+
+
+@_registered
+def a16_ordered_voices(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns as members of a cast whose voices go by role and book."""
+    t = tables.turns(spark, folder)
+    cast = t.select("book_id", F.col("ordinal").alias("rank"), F.concat_ws("-", "role", (F.col("ordinal") % (F.col("book_id") % 3 + 1)).cast("string")).alias("voice_id"))
+    return measures.ordered_voices(cast).select("book_id", F.array_join("voice_ids", ",").alias("voice_ids"))
+
+
+@_registered
+def a20_capped_warnings(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of documents as warnings, seven of which are listed."""
+    rows = tables.books(spark, folder).select("book_id", measures.capped(F.split("text", "\n"), 7).alias("w"))
+    return rows.select("book_id", F.sha2(F.array_join("w.listed", "\n"), 256).alias("listed_sha256"), "w.total", "w.truncated")
+
+
+@_registered
+def o06_short_samples(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.books(spark, folder).select("book_id", F.sha2(measures.short_sample(F.col("text")), 256).alias("sample_sha256"))

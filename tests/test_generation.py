@@ -184,3 +184,19 @@ def test_wrong_ranges(spark):
     ranges = spark.createDataFrame([(0, 1, None), (1, 2, 1), (2, 0, 1), (3, 1, 3), (4, 1, 2), (9, None, None)], "book_id long, first_chapter int, last_chapter int")
     assert {(r["book_id"], r["rule"]) for r in scope.scope_violations(ranges, chapters).collect()} == {(0, "ends"), (1, "range"), (2, "range"), (3, "range"), (9, "chapters")}
     assert [r["book_id"] for r in scope.scopes(ranges, chapters).collect()] == [4]
+
+
+def test_measures_have_their_domains(spark):
+    from narrata.operators import measures
+
+    rows = spark.createDataFrame([("a", 1, 10, 80, 20, 5, 8), ("b", 1, -1, 8, 4, 5, 8), ("c", 1, 1, 8, 0, 0, 8), ("d", 2, 3, 8, 4, 6, None)], "run_id string, g int, generation_ms long, cpu_ms long, wall_ms long, audio_ms long, cores int")
+    got = {r["run_id"]: (r["rtf"], r["utilisation"]) for r in measures.run_measures(rows).collect()}
+    assert got == {"a": (2.0, 0.5), "b": (None, 0.25), "c": (None, None), "d": (0.5, None)}
+    means = measures.run_averages(rows.where("run_id in ('a', 'c')"), "g").first()
+    assert (means["runs"], means["generation_seconds"], means["rtf"]) == (2, 0.0055, 11 / 5)
+    gold = spark.createDataFrame([(1, "t", ["a"]), (2, "t", ["a"]), (3, None, None)], "book_id long, text string, cast array<string>")
+    other = spark.createDataFrame([(2, "u", ["b"]), (3, None, None), (4, "t", [])], "book_id long, text string, cast array<string>")
+    assert {tuple(r) for r in measures.corpus_differences(gold, other, ["text", "cast"]).collect()} == {(1, "missing_predictions"), (4, "unknown_book"), (2, "text"), (2, "cast")}
+    texts = spark.createDataFrame([("  a b\n\nc  ", ["x"] * 51), ("", []), (None, None)], "t string, w array<string>")
+    found = texts.select(measures.short_sample(F.col("t"), 2).alias("s"), measures.capped(F.col("w")).alias("c")).collect()
+    assert [r["s"] for r in found] == ["a b", "", None] and [(len(r["c"]["listed"]), r["c"]["total"], r["c"]["truncated"]) for r in found] == [(50, 51, True), (0, 0, False), (0, 0, False)]
