@@ -21,5 +21,5 @@ def test_query_equals_sql(spark, name):
     assert as_rows(got) == as_rows(wanted)
 
 
-def test_ten_queries_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+def test_all_thirteen_queries_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
