@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,17 +27,25 @@ def quote_places(quotes: DataFrame, offsets: DataFrame) -> DataFrame:
     return quotes.join(first, ["book_id", "start_token"]).join(last, ["book_id", "end_token"]).select("book_id", "quote_id", "source_start", "source_end")
 
 
+def _fits(starts: pd.Series, ends: pd.Series) -> pd.Series:
+    """For each list of ranges in order, which begin at or behind the end of the last one kept."""
+
+    def fits(begin: np.ndarray, end: np.ndarray) -> list[bool]:
+        out, reach = [], 0
+        for a, b in zip(begin.tolist(), end.tolist()):
+            out.append(a >= reach)
+            reach = b if out[-1] else reach
+        return out
+
+    return pd.Series([fits(a, b) for a, b in zip(starts, ends)], dtype="object")
+
+
 def without_overlaps(quotes: DataFrame) -> DataFrame:
     """Quotes of a book in order, without those that begin before the end of the last one kept.
 
-    A dropped quote must not move the end, so this is a fold over the book's quotes, kept inside the row.
+    A dropped quote must not move the end, so this is a fold over the book's quotes, in one pass inside the row.
     """
-    order = F.array_sort(F.collect_list(F.struct("source_start", "source_end", "quote_id")))
-
-    def step(state, q):
-        fits = q["source_start"] >= state["end"]
-        return F.struct(F.when(fits, q["source_end"]).otherwise(state["end"]).alias("end"), F.when(fits, F.concat(state["kept"], F.array(q))).otherwise(state["kept"]).alias("kept"))
-
-    start = F.struct(F.lit(0).cast("long").alias("end"), F.array().cast("array<struct<source_start:long,source_end:long,quote_id:long>>").alias("kept"))
     rows = quotes.select("book_id", F.col("source_start").cast("long"), F.col("source_end").cast("long"), F.col("quote_id").cast("long"))
-    return rows.groupBy("book_id").agg(F.aggregate(order, start, step)["kept"].alias("kept")).select("book_id", F.inline("kept"))
+    listed = rows.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("source_start", "source_end", "quote_id"))).alias("q"))
+    judged = listed.select("book_id", "q", F.pandas_udf(_fits, "array<boolean>")("q.source_start", "q.source_end").alias("fits"))
+    return judged.select("book_id", F.inline(F.arrays_zip("q", "fits"))).where("fits").select("book_id", "q.*")

@@ -8,6 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _has_files(spark: SparkSession, folder: str) -> bool:
+    """Whether a table of any batch lies in a folder, on whatever store it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return store.exists(path) and any(s.getPath().getName().startswith("batch=") for s in store.listStatus(path))
+
+
 def speak_new_chunks(
     spark: SparkSession, source: str, schema: str, done: str, checkpoint: str, speak: Callable[[DataFrame], DataFrame], files_per_batch: int = 8
 ) -> int:
@@ -21,12 +28,9 @@ def speak_new_chunks(
 
     def work(batch: DataFrame, n: int) -> None:
         new = batch.dropDuplicates(["input_hash"])
-        try:
+        if _has_files(batch.sparkSession, done):
             before = batch.sparkSession.read.parquet(done).where(F.col("batch") != n)
-            new = new.join(before.select("input_hash").distinct(), "input_hash", "left_anti")
-        except Exception as error:  # no chunk is done yet
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
+            new = new.join(before.select("input_hash"), "input_hash", "left_anti")
         speak(new).withColumn("batch", F.lit(n)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(done)
 
     query = chunks.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
