@@ -183,15 +183,17 @@ class Index:
         now = np.zeros(reach.shape, bool)
         np.put_along_axis(now, best, True, 1)
         self._score_blocks(scores, sums, dense, now)
-        least = self._kth(scores, k)
+        least = self._kth(np.take_along_axis(scores, best[:, :, None], 1), k)  # all other blocks are zero so far
         self._score_blocks(scores, sums, dense, ~now & (reach > 0) & (reach >= least[:, None] - 1e-9))
-        scores = np.round(scores.reshape(len(queries), -1), 12)
-        least = np.maximum(self._kth(scores, k), 1e-12)
+        scores = scores.reshape(len(queries), -1)
+        least = np.maximum(np.round(self._kth(scores, k), 12), 1e-12)
         out = []
         for own, worst in zip(scores, least):
-            found = np.flatnonzero(own >= worst)
-            found = found[np.lexsort((self.rank[found], -own[found]))][:k]
-            out.append(list(zip(own[found].tolist(), found.tolist())))
+            found = np.flatnonzero(own >= worst - 1e-11)
+            near = np.round(own[found], 12)  # rounding keeps the order, so only what can be among the nearest is rounded
+            found, near = found[near >= worst], near[near >= worst]
+            order = np.lexsort((self.rank[found], -near))[:k]
+            out.append(list(zip(near[order].tolist(), found[order].tolist())))
         return out
 
     def _score_blocks(self, scores: np.ndarray, sums: np.ndarray, dense: np.ndarray, wanted: np.ndarray) -> None:
