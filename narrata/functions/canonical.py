@@ -11,11 +11,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
+from narrata.functions.scans import scanned
+
 #: What control characters are escaped as (the others below U+0020 as \u00xx).
 _SHORT = {8: r"\b", 9: r"\t", 10: r"\n", 12: r"\f", 13: r"\r"}
 _ESCAPES = [_SHORT.get(c, f"\\u{c:04x}") for c in range(32)]
@@ -34,21 +35,17 @@ def quoted(text: Column) -> Column:
 _HOLE = "\x01"
 
 
-def _filled(texts: pd.Series, numbers: pd.Series) -> pd.Series:
-    """Texts with the fewest digits of each number in its hole, as Python writes them; null if a number isn't finite."""
-
-    def fill(text: str, row: Sequence[float]) -> str | None:
-        if not all(map(math.isfinite, row)):
-            return None
-        parts = text.split(_HOLE)
-        return parts[0] + "".join(repr(float(x)) + p for x, p in zip(row, parts[1:]))
-
-    return pd.Series([fill(t, row) for t, row in zip(texts, numbers)], dtype="object")
+def _filled(text: str, numbers: Sequence[float]) -> str | None:
+    """A text with the fewest digits of each number in its hole, as Python writes them; None if a number isn't finite."""
+    if not all(map(math.isfinite, numbers)):
+        return None
+    parts = text.split(_HOLE)
+    return parts[0] + "".join(repr(float(x)) + p for x, p in zip(numbers, parts[1:]))
 
 
 def canonical_json(value: Column, kind: t.DataType) -> Column:
     """The canonical text of ``value``, which is of type ``kind``; null if it holds a number that isn't finite."""
-    return F.pandas_udf(_filled, "string")(_text(value, kind), _numbers(value, kind)) if _floats(kind) else _text(value, kind)
+    return scanned(_filled, "string", _text(value, kind), _numbers(value, kind)) if _floats(kind) else _text(value, kind)
 
 
 def _floats(kind: t.DataType) -> bool:

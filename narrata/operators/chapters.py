@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from narrata.functions import text as T
+from narrata.functions.scans import scanned
 from narrata.operators import boundaries, spans
 
 
@@ -19,14 +19,15 @@ def heading_candidates(cleaned: DataFrame) -> DataFrame:
     A line's offset in its page is the length of the lines before it, all in the row.
     """
     lines = F.split(F.expr("left(text, cleaned_end - cleaned_start)"), "\n")
+    headed = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: T.is_heading(T.strip(F.get("lines", i))))
     at = F.transform(
-        F.sequence(F.lit(0), F.size("lines") - 1),
+        headed,
         lambda i: F.struct(
             F.get(F.col("lines"), i).alias("title"),
             (F.aggregate(F.slice(F.col("lines"), F.lit(1), i), F.lit(0), lambda s, x: s + F.length(x) + 1)).alias("before"),
         ),
     )
-    rows = cleaned.select("book_id", "cleaned_start", lines.alias("lines")).select("book_id", "cleaned_start", F.inline(F.filter(at, lambda x: T.is_heading(T.strip(x["title"])))))
+    rows = cleaned.select("book_id", "cleaned_start", lines.alias("lines")).select("book_id", "cleaned_start", F.inline(at))
     return rows.select("book_id", (F.col("cleaned_start") + F.col("before")).alias("offset"), T.strip(F.col("title")).alias("title"), F.lit("heading").alias("source_type"))
 
 
@@ -122,12 +123,12 @@ def custom_plan(books: DataFrame, count: int) -> DataFrame:
     if not LEAST_COUNT <= count <= MOST_COUNT:
         raise ValueError("INVALID_COUNT")
 
-    @F.pandas_udf("array<struct<offset:long,title:string,source_type:string>>")
-    def planned(texts: pd.Series) -> pd.Series:
-        found = (custom_boundaries(t, count) for t in texts)
-        return pd.Series([f and [{"offset": o, "title": t, "source_type": s} for o, t, s in f] for f in found], dtype="object")
+    def planned(text: str) -> list[dict] | None:
+        found = custom_boundaries(text, count)
+        return found and [{"offset": o, "title": t, "source_type": s} for o, t, s in found]
 
-    rows = books.where("text <> ''").withColumn("starts", planned("text")).where("starts is not null")
+    starts = scanned(planned, "array<struct<offset:long,title:string,source_type:string>>", "text")
+    rows = books.where("text <> ''").withColumn("starts", starts).where("starts is not null")
     order = Window.partitionBy("book_id").orderBy("start_offset")
     flat = rows.select("book_id", F.length("text").cast("long").alias("n"), F.posexplode("starts").alias("pos", "s"))
     flat = flat.select("book_id", "n", (F.col("pos") + 1).alias("index"), F.col("s.offset").alias("start_offset"), "s.title", "s.source_type")

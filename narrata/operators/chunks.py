@@ -10,12 +10,12 @@ import math
 from bisect import bisect_right
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from narrata.functions import canonical
+from narrata.functions.scans import scanned
 from narrata.operators import boundaries as B
 
 
@@ -38,10 +38,7 @@ def _sentence_taken(text: str, cap: int) -> list[int]:
 
 
 def _taken_column(take: Callable[[str], list[int]]) -> Column:
-    def over(texts: pd.Series) -> pd.Series:
-        return pd.Series([take(t) for t in texts], dtype="object")
-
-    return F.pandas_udf(over, "array<int>")("text")
+    return scanned(take, "array<int>", "text")
 
 
 def _chunk_rows(packed: DataFrame) -> DataFrame:
