@@ -13,6 +13,8 @@ BENCH_WORD = r"\w+(?:['’.-]\w+)*"
 PAGE_NUMBER = r"(?i)^(?:page\s+)?\d+$"
 HEADING_PREFIX = r"(?i)^(?:chapter|part|section)\b"
 HEADING_LINE = r"(?i)^(?:chapter|part|section)\b(?:\s+.*)?$"
+#: Fixed value: what ``\\s`` is in all scripts.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 TERMINAL = r"[.!?:;…][\"'’”»›)\]}]*$"
 SENTENCE_FINAL = r"[.!?…][\"'’”»›)\]}]*$"
 ENGLISH_MARKERS = tuple(
@@ -48,7 +50,7 @@ def bench_word_count(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space of any script at both ends."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+", ""), r"(?U)\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def is_page_number(line: Column) -> Column:

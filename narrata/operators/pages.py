@@ -9,11 +9,31 @@ from pyspark.sql.window import Window
 from narrata.functions import text as T
 
 #: Fixed value: characters that end a line.
-LINE_BREAK = "\r\n|[\n\r\\x0B\\x0C\\x1C\\x1D\\x1E\\x85  ]"
+LINE_BREAK = "[\n\r\\x0B\\x0C\\x1C\\x1D\\x1E\\x85  ]"
+
+
+def _lines(text: Column) -> Column:
+    """The lines of a text; a carriage return with its line feed ends one."""
+    return F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), LINE_BREAK)
 
 
 def _full_lines(text: Column) -> Column:
-    return F.filter(F.split(text, LINE_BREAK), lambda x: T.strip(x) != "")
+    return F.filter(_lines(text), lambda x: T.strip(x) != "")
+
+
+def _repeated_lists(pages: DataFrame) -> DataFrame:
+    """``(book_id, repeated)``: each book's repeated lines with their counts, in one pass over the pages.
+
+    A null line counts the pages that have text, so that lines and pages are counted together.
+    """
+    lined = pages.where("book_id is not null").select("book_id", _full_lines(F.col("text")).alias("lines"))
+    edges = lined.select("book_id", F.get("lines", F.lit(0)).alias("first"), F.get("lines", F.size("lines") - 1).alias("last"))
+    nothing = F.lit(None).cast("string")
+    votes = edges.select("book_id", F.explode(F.when(F.col("first").isNotNull(), F.array_distinct(F.array("first", "last", nothing)))).alias("line"))
+    counted = votes.groupBy("book_id", "line").agg(F.count(F.lit(1)).alias("n_pages"))
+    often = (F.col("n_pages") >= 2) & (F.length("line") > 2)
+    listed = counted.groupBy("book_id").agg(F.collect_list(F.when(often, F.struct("line", "n_pages"))).alias("listed"), F.max(F.when(F.col("line").isNull(), F.col("n_pages"))).alias("considered"))
+    return listed.select("book_id", F.filter("listed", lambda x: x["n_pages"] >= F.greatest(F.lit(2), F.ceil(F.col("considered") * 0.6))).alias("repeated"))
 
 
 def repeated_lines(pages: DataFrame) -> DataFrame:
@@ -21,20 +41,17 @@ def repeated_lines(pages: DataFrame) -> DataFrame:
 
     A page votes once for a line that is both its first and its last.
     """
-    edges = pages.select("book_id", "number", _full_lines(F.col("text")).alias("lines")).where(F.size("lines") > 0)
-    votes = edges.select("book_id", F.explode(F.array_distinct(F.array(F.element_at("lines", 1), F.element_at("lines", -1)))).alias("line"))
-    counted = votes.groupBy("book_id", "line").agg(F.count(F.lit(1)).alias("n_pages")).where("n_pages >= 2 and length(line) > 2")
-    considered = edges.groupBy("book_id").agg(F.count(F.lit(1)).alias("considered"))
-    return counted.join(considered, "book_id").where(F.col("n_pages") >= F.greatest(F.lit(2), F.ceil(F.col("considered") * 0.6))).select("book_id", "line", "n_pages")
+    return _repeated_lists(pages).select("book_id", F.inline("repeated"))
 
 
 def clean_page_text(text: Column, repeated: Column) -> Column:
     """A page without repeated lines and page numbers, words joined over hyphens and sentences over wraps."""
-    lines = F.transform(F.split(text, LINE_BREAK), T.strip)
+    lines = F.transform(_lines(text), T.strip)
     lines = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(repeated, x), F.lit(False)) & ~T.is_page_number(x))
     joined = F.regexp_replace(F.array_join(lines, "\n"), "\n\n+", "\n\n")
-    joined = F.regexp_replace(joined, r"(?U)(?<=[\p{L}\p{N}_])-\n(?=[a-z])", "")
-    return T.strip(F.regexp_replace(joined, r"(?<=[^.!?:;\n])\n(?=\p{Ll})", " "))
+    # What is looked for stands before what has to precede it, so that few places look behind.
+    joined = F.regexp_replace(joined, r"(?U)-(?<=[\p{L}\p{N}_]-)\n(?=[a-z])", "")
+    return T.strip(F.regexp_replace(joined, r"\n(?<=[^.!?:;\n]\n)(?=\p{Ll})", " "))
 
 
 def clean_pages(pages: DataFrame) -> DataFrame:
@@ -44,16 +61,14 @@ def clean_pages(pages: DataFrame) -> DataFrame:
     it. Where a word runs over a hyphen the separator is empty and the hyphen goes: the page before
     ends one earlier, and all after it start one earlier.
     """
-    repeated = repeated_lines(pages).groupBy("book_id").agg(F.collect_set("line").alias("repeated"))
-    cleaned = (
-        pages.join(repeated, "book_id", "left")
-        .select("book_id", "number", clean_page_text(F.col("text"), F.coalesce("repeated", F.array().cast("array<string>"))).alias("text"))
-        .where("text <> ''")
-    )
+    repeated = _repeated_lists(pages).where(F.size("repeated") > 0).select("book_id", "repeated.line")
+    text = clean_page_text(F.col("text"), F.coalesce("line", F.array().cast("array<string>")))
+    # A filter would be pushed below the cleaning and clean a second time; one inside the generator isn't.
+    cleaned = pages.join(repeated, "book_id", "left").select("book_id", "number", F.explode(F.filter(F.array(text), lambda x: x != "")).alias("text"))
     order = Window.partitionBy("book_id").orderBy("number")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    before = F.lag("text").over(order)
-    joined = cleaned.withColumn("separator", F.when(before.isNull(), "").otherwise(T.page_separator(before, F.col("text"))))
+    before = F.col("before")
+    joined = cleaned.withColumn("before", F.lag("text").over(order)).withColumn("separator", F.when(before.isNull(), "").otherwise(T.page_separator(before, F.col("text"))))
     joined = joined.withColumn("hyphen", (before.isNotNull() & (F.col("separator") == "")).cast("int"))
     start = F.sum(F.length("text") + F.length("separator") - F.col("hyphen")).over(so_far) - F.length("text")
     placed = joined.withColumn("cleaned_start", start.cast("long"))
@@ -63,11 +78,11 @@ def clean_pages(pages: DataFrame) -> DataFrame:
     )
 
 
-def cleaned_books(cleaned: DataFrame) -> DataFrame:
-    """``(book_id, text)``: a book's pages put together as their offsets say."""
+def cleaned_books(cleaned: DataFrame, *more: Column) -> DataFrame:
+    """``(book_id, text)``: a book's pages put together as their offsets say; ``more``: other aggregates of a book's pages."""
     part = F.concat("separator", F.expr("left(text, cleaned_end - cleaned_start)"))
     parts = F.array_sort(F.collect_list(F.struct("number", part.alias("part"))))
-    return cleaned.groupBy("book_id").agg(F.array_join(F.transform(parts, lambda p: p["part"]), "").alias("text"))
+    return cleaned.groupBy("book_id").agg(F.array_join(F.transform(parts, lambda p: p["part"]), "").alias("text"), *more)
 
 
 def coverage_violations(pages: DataFrame) -> DataFrame:
