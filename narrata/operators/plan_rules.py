@@ -115,14 +115,14 @@ def plan_violations(plans: DataFrame, books: DataFrame, mapping: DataFrame) -> D
         return x.withField("words", T.latin_word_count(inside))
 
     met = plans.join(books.select("book_id", "text"), "book_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
-    # Nothing after this has the text.
-    facts = met.select(*(plans[x] for x in plans.columns if x != "chapters"), F.length("text").cast("long").alias("n"), F.sha2("text", 256).alias("text_sha256"), F.transform("chapters", told).alias("chapters"))
+    # Nothing after these has the text. Words are counted for the rows alone, and edges need no text.
+    facts = met.select(*(plans[x] for x in plans.columns), F.length("text").cast("long").alias("n"), F.sha2("text", 256).alias("text_sha256"))
     header = broken(facts, ["book_id"], [
         ("HASH_MISMATCH", "hash", F.lit("$.cleaned_text_sha256"), c("cleaned_text_sha256") == c("text_sha256")),
         ("INVALID_PLAN", "coverage", F.lit("$.chapters"), (F.coalesce(F.size("chapters"), F.lit(0)) == 0) | (F.element_at("chapters", -1)["end_offset"] == c("n"))),
     ])
-    rows = _chapters(facts, "n")
-    edges = rows.select("book_id", "position", F.inline(F.array(
+    rows = _chapters(met.select(plans["book_id"], F.length("text").cast("long").alias("n"), F.transform("chapters", told).alias("chapters")), "n")
+    edges = _chapters(plans).select("book_id", "position", F.inline(F.array(
         F.struct(F.lit("a").alias("edge"), c("start_offset").alias("offset")), F.struct(F.lit("b").alias("edge"), F.greatest(c("start_offset"), c("end_offset") - 1).alias("offset")),
     )))
     paged = edges.join(spans.page_at(edges, mapping), ["book_id", "offset"]).groupBy("book_id", "position").agg(
