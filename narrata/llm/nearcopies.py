@@ -29,6 +29,8 @@ SEGMENTS, BITS, BALL = 24, 28, 3
 MOST_BITS = 138
 #: Texts of a ball point up to which each pair is a candidate at once.
 CROWD = 4
+#: Shingles of a crowd's base that are told one by one, and steps from a text to the base of its base.
+PLACES, JUMPS = 1024, 2
 #: Lists that the points of a crowded text are dealt into.
 LISTS = 8
 #: Rows of hashes and ids, a few dozen bytes each, up to which a side of a join is broadcast.
@@ -129,20 +131,48 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.where(_similar(both, F.size("x"), F.size("y"))).select("a", "b")
 
 
-def _sharable(many: DataFrame, sets: DataFrame) -> DataFrame:
-    """``(node, size, sharable)`` of crowded texts: their shingles, and how many of them any other crowded text has.
+def _held(shingles: pd.Series, of_base: pd.Series) -> pd.DataFrame:
+    """What a text has of its base: bits of the base's first PLACES shingles, the number of the others, and what the text has beyond it."""
+    out = []
+    for own, base in zip(shingles, of_base):
+        has = np.isin(base, own, assume_unique=True)
+        bits = np.packbits(np.pad(has[:PLACES], (0, -len(has[:PLACES]) % 64)), bitorder="little").view(np.int64)
+        out.append((bits, int(has[PLACES:].sum()), np.setdiff1d(own, base, assume_unique=True)))
+    return pd.DataFrame(out, columns=["held", "rest", "beyond"])
 
-    Two texts have no more in common than either's sharable ones, so most texts that are like no other
-    are known by this alone. Texts are written as what they have beyond their least head, so that rows
-    are in proportion to what tells the texts of a crowd apart; the heads are written whole.
+
+def _crowd_facts(many: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(node, size, base, held, rest, shared, sharable)`` of crowded texts, which bound what any two have in common.
+
+    Texts are written as what they hold of a base and what they have beyond it, so that rows are in
+    proportion to what tells the texts of a crowd apart. The base is the least head, then its least
+    head and so on, a few steps, so that the texts of a crowd have few bases; which one it is decides
+    no result. ``shared``: how many shingles beyond the base any other crowded text has. Two texts of one base have in
+    common what both hold of it, and of the others no more than either's ``rest`` and ``shared``; any two no more
+    than either's ``sharable``.
     """
-    base = many.groupBy("node").agg(F.min("head").alias("base"))
-    whole = base.select("base").distinct().join(sets.select(F.col("node").alias("h_node"), F.col("shingles").alias("of_base")), F.col("base") == F.col("h_node")).select("base", "of_base")
-    known = cut(base.join(sets.select("node", "shingles"), "node").join(whole, "base").select("node", F.size("shingles").alias("size"), F.array_except("shingles", "of_base").alias("beyond")))
-    each = known.select("node", F.explode("beyond").alias("shingle")).union(whole.select("base", F.explode("of_base")))
-    holders = each.groupBy("shingle").agg(F.min("node").alias("least"), F.max("node").alias("most"))
-    alone = holders.where("least = most").groupBy("least").agg(F.count(F.lit(1)).alias("alone"))
-    return known.join(alone, F.col("node") == F.col("least"), "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("sharable"))
+    base = cut(many.groupBy("node").agg(F.min("head").alias("base")))
+    for _ in range(JUMPS):
+        further = base.select(F.col("node").alias("h_node"), F.col("base").alias("h_base"))
+        base = cut(base.join(further, F.col("base") == F.col("h_node")).select("node", F.col("h_base").alias("base")))
+    # Cut, so that the join deals out both sides anew and Spark can split a base with a great many texts.
+    own = cut(base.join(sets, "node"))
+    whole = cut(base.select(F.col("base").alias("h_node")).distinct().join(sets.select(F.col("node").alias("h_node"), F.col("shingles").alias("of_base")), "h_node"))
+    met = own.join(whole, F.col("base") == F.col("h_node"))
+    known = cut(met.select("node", "base", F.size("shingles").alias("size"), F.pandas_udf(_held, "held array<long>, rest int, beyond array<long>")("shingles", "of_base").alias("h")).select("node", "base", "size", "h.*"))
+    # A base's own shingles have a holder beside any text that has them beyond another base.
+    each = known.select("node", F.explode("beyond").alias("shingle"), F.lit(False).alias("based")).union(whole.select("h_node", F.explode("of_base"), F.lit(True)))
+    holders = each.groupBy("shingle").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.max("based").alias("based"))
+    alone = holders.where("least = most and not based").groupBy("least").agg(F.count(F.lit(1)).alias("alone"))
+    facts = known.join(alone, F.col("node") == F.col("least"), "left").withColumn("shared", (F.size("beyond") - F.coalesce("alone", F.lit(0))).cast("int"))
+    return facts.select("node", "size", "base", "held", "rest", "shared", (F.col("size") - F.size("beyond") + F.col("shared")).alias("sharable"))
+
+
+def _most_common() -> Column:
+    """How many shingles a text and the text of the columns ``b_*`` can have in common at most."""
+    both = [F.coalesce(F.bit_count(F.get("held", F.lit(i)).bitwiseAND(F.get("b_held", F.lit(i)))), F.lit(0)) for i in range(PLACES // 64)]
+    of_base = sum(both[1:], both[0]) + F.least("rest", "b_rest") + F.least("shared", "b_shared")
+    return F.when(F.col("base") == F.col("b_base"), of_base).otherwise(F.least("sharable", "b_sharable"))
 
 
 def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -162,7 +192,7 @@ def _connected(nodes: DataFrame, texts: DataFrame, crowd: int) -> DataFrame:
     square: there each text first meets the point's head, the least text of it, of all its heads the
     one that it shares most points with and the least one. Then whatever lies outside a crowd's largest component meets the texts of
     the crowd in other components, so no candidate that could join two components is left out, but for
-    those that have too few shingles in common with any text of the crowd (see :func:`_sharable`).
+    those that have too few shingles in common (see :func:`_crowd_facts`), an exact bound.
     """
     members = nodes.select("node", F.posexplode("segments").alias("which", "segment"))
     members = members.select("node", F.explode(_ball(F.col("segment"), F.col("which"))).alias("point"))
@@ -184,7 +214,7 @@ def _connected(nodes: DataFrame, texts: DataFrame, crowd: int) -> DataFrame:
     roots = components(links)
     if many.isEmpty():
         return roots
-    facts = _labelled(_sharable(many, sets), roots)
+    facts = _labelled(_crowd_facts(many, sets), roots)
     # A text's points go along as a few lists, so that what is known of it is joined to those and not to each point.
     listed = many.groupBy("node", F.pmod("point", F.lit(LISTS)).alias("list")).agg(F.collect_list("point").alias("points"))
     rows = cut(listed.join(bounded_broadcast(cut(facts), BROADCAST_ROWS), "node").select(F.explode("points").alias("point"), *facts.columns))
@@ -194,15 +224,14 @@ def _connected(nodes: DataFrame, texts: DataFrame, crowd: int) -> DataFrame:
     able = _similar(F.col("sharable"), F.col("size"), F.col("least_size"))
     open_rows = cut(rows.join(main, (F.col("point") == F.col("m_point")) & able).withColumn("outside", F.col("root") != F.col("m_root")).drop("m_point", "m_root", "least_size"))
     outside = open_rows.where("outside")
-    # Only points that someone outside still asks about go on, with the complete fingerprints.
+    # Only points that someone outside still asks about go on.
     asked_points = outside.select(F.col("point").alias("a_point")).distinct()
-    prints = nodes.select("node", "segments")
-    against = open_rows.join(asked_points, F.col("point") == F.col("a_point"), "left_semi").join(prints, "node")
+    against = open_rows.join(asked_points, F.col("point") == F.col("a_point"), "left_semi")
     against = against.select(*(F.col(c).alias(f"b_{c}") for c in against.columns))
     # All of it is the join's own condition: pairs that can't be similar, or are compared from the other side, are no rows.
     apart = (F.col("root") != F.col("b_root")) & (~F.col("b_outside") | (F.col("node") < F.col("b_node")))
-    likely = _similar(F.least("sharable", "b_sharable"), F.col("size"), F.col("b_size")) & (_bits("segments", "b_segments") <= MOST_BITS)
-    met = outside.join(prints, "node").join(against, (F.col("point") == F.col("b_point")) & apart & likely)
+    likely = _similar(_most_common(), F.col("size"), F.col("b_size"))
+    met = outside.join(against, (F.col("point") == F.col("b_point")) & apart & likely)
     later = cut(_verified(_ordered(met.select(F.col("node").alias("a"), F.col("b_node").alias("b"))), sets))
     # The first round's components stand for its links, so that the second starts from stars.
     return roots if later.isEmpty() else components(later.union(roots))

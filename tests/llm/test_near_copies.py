@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pandas as pd
+
 import corpus_pipeline
 from narrata.llm import nearcopies
 from tests.llm.helpers import DOCS, FOLDER, documents, near_copies, no_docs, odd_docs
@@ -73,3 +76,30 @@ def test_a_clean_row_stays_whatever_its_id(spark):
     assert {(None, "no id"), (None, "no id either"), (2, "another text with the id two"), (0, None)} <= set(kept)
     assert len(kept) == len(set(brute([r["text"] for r in rows])))
     assert stage(spark, no_docs(spark), FOLDER).count() == 0
+
+
+def test_a_crowd_just_under_the_bound_gives_few_pairs(spark, monkeypatch):
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(3000)}" for _ in range(150)]
+    texts = []
+    for i in range(300):  # three words each are new, so most pairs are alike by some 0.66
+        w = list(base)
+        for at in rng.sample(range(5, 145), 3):
+            w[at] = f"new{i}x{at}"
+        texts.append(" ".join(w))
+    compared, verified = [], nearcopies._verified
+    monkeypatch.setattr(nearcopies, "_verified", lambda pairs, sets: compared.append(pairs.count()) or verified(pairs, sets))
+    got = nearcopies.near_copies_removed(frame(spark, texts))
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(brute(texts)))
+    assert len(compared) == 2 and compared[1] <= len(texts), compared  # the first round's pairs are of small points and heads alone
+
+
+def test_what_a_text_has_of_its_base_is_whole():
+    rng = np.random.default_rng(3)
+    base = np.unique(rng.integers(-(1 << 63), 1 << 63, 3000))
+    for own in (base, base[::2], base[:5], np.append(base[1000:1100], [7, 8]), np.array([], np.int64)):
+        for whole in (base, base[:70], base[:1]):
+            held, rest, beyond = nearcopies._held(pd.Series([own]), pd.Series([whole])).iloc[0]
+            assert len(held) <= nearcopies.PLACES // 64
+            assert np.unpackbits(held.view(np.uint8)).sum() + rest == len(np.intersect1d(own, whole))
+            assert sorted(beyond) == sorted(set(own) - set(whole))
