@@ -128,9 +128,9 @@ def custom_plan(books: DataFrame, count: int) -> DataFrame:
         return found and [{"offset": o, "title": t, "source_type": s} for o, t, s in found]
 
     starts = scanned(planned, "array<struct<offset:long,title:string,source_type:string>>", "text")
-    rows = books.where("text <> ''").withColumn("starts", starts).where("starts is not null")
     order = Window.partitionBy("book_id").orderBy("start_offset")
-    flat = rows.select("book_id", F.length("text").cast("long").alias("n"), F.posexplode("starts").alias("pos", "s"))
+    # Inside the generator, which leaves nulls out: a filter of it would be pushed below and scan all texts a second time.
+    flat = books.where("text <> ''").select("book_id", F.length("text").cast("long").alias("n"), F.posexplode(starts).alias("pos", "s"))
     flat = flat.select("book_id", "n", (F.col("pos") + 1).alias("index"), F.col("s.offset").alias("start_offset"), "s.title", "s.source_type")
     return flat.select(
         "book_id", "index", F.coalesce("title", F.format_string("Chapter %02d", F.col("index"))).alias("title"), "start_offset",
